@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import text as T
+from ..scale import by_key
 
 # ------------------------------------------------------------------ statistics
 
@@ -92,9 +93,12 @@ def length_between(df: DataFrame, text: str, low: int, high: int) -> DataFrame:
 def sentence_rows(df: DataFrame, key: str, text: str, lower: bool = False) -> DataFrame:
     """One row per sentence: key, position, sentence and the document's number of sentences."""
     found = df.select(key, T.sentences(text, lower).alias("_s"))
-    return found.select(
-        key, F.size("_s").alias("n_sents"), F.posexplode("_s").alias("sent_ix", "sentence")
+    # The outer form keeps Spark from deriving "has sentences" as a filter below
+    # the shuffle, where it would split every text once more.
+    rows = found.select(
+        key, F.size("_s").alias("n_sents"), F.posexplode_outer("_s").alias("sent_ix", "sentence")
     )
+    return rows.where("sentence is not null")
 
 
 def _term_counts(sentences: DataFrame, key: str) -> DataFrame:
@@ -111,7 +115,7 @@ def _raw_weights(sentences: DataFrame, key: str) -> DataFrame:
 
 def sentence_tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     """TF-IDF weights of the terms of every sentence, fitted per document, unit length."""
-    sents = sentence_rows(df.select(key, text).repartition(key), key, text, lower=True)
+    sents = sentence_rows(by_key(df.select(key, text), key), key, text, lower=True)
     raw = _raw_weights(sents, key)
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key, "sent_ix")))
     return raw.select(key, "sent_ix", "term", (F.col("raw") / norm).alias("weight"))
@@ -131,15 +135,14 @@ def _cosine(a_terms: str, a_weights: str, b_terms: str, b_weights: str):
     )
 
 
-def sentence_vectors(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """The distinct sentence vectors of every document.
+def sentence_vectors(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """The distinct sentence vectors of documents that are partitioned by key.
 
     ``members`` are the sentences that share the vector, ``first`` the earliest
     of them. ``terms`` run from rare to frequent; ``lead`` are the terms up to
     the point where the squared weight still to come falls below threshold².
     """
-    sents = sentence_rows(df.select(key, text).repartition(key), key, text, lower=True)
-    raw = _raw_weights(sents, key)
+    raw = _raw_weights(sentence_rows(docs, key, text, lower=True), key)
     in_sentence = W.partitionBy(key, "sent_ix")
     frequent_first = in_sentence.orderBy(F.desc("df"), F.desc("term"))
     square = F.col("raw") * F.col("raw")
@@ -150,9 +153,9 @@ def sentence_vectors(df: DataFrame, key: str, text: str, threshold: float) -> Da
         .withColumn("leads", F.col("to_come") / F.col("total") >= threshold * threshold - 1e-9)
     )
     entry = F.struct("df", "term", "tf", "w", "leads")
-    vectors = weights.groupBy(key, "sent_ix").agg(F.array_sort(F.collect_list(entry)).alias("v"))
+    vectors = weights.groupBy(key, "sent_ix").agg(F.sort_array(F.collect_list(entry)).alias("v"))
     return vectors.groupBy(key, "v").agg(
-        F.min("sent_ix").alias("first"), F.array_sort(F.collect_list("sent_ix")).alias("members")
+        F.min("sent_ix").alias("first"), F.sort_array(F.collect_list("sent_ix")).alias("members")
     ).select(
         key,
         "first",
@@ -163,88 +166,110 @@ def sentence_vectors(df: DataFrame, key: str, text: str, threshold: float) -> Da
     )
 
 
-def _similar_vectors(vectors: DataFrame, key: str, threshold: float) -> DataFrame:
-    side = vectors.select(
-        key, "first", F.size("members").alias("n"), "terms", "ws", F.explode("lead").alias("term")
+def similar_sentences(
+    df: DataFrame, key: str, text: str, threshold: float = 0.8, partitioned: bool = False
+) -> DataFrame:
+    """Every distinct sentence vector of a document with the earlier vectors it is similar to.
+
+    ``first`` is the first sentence with the vector, ``members`` all sentences
+    with it, ``earlier`` the array ``(first, n)`` of vectors that occurred before
+    and have a cosine above the threshold.
+
+    Terms are ordered from rare to frequent. Two unit vectors with a dot product
+    of at least t share a term while the weight behind that term still reaches t
+    (otherwise the dot product is at most the length of the rest, below t). Only
+    vectors that share such a leading term are compared, so frequent words bring
+    nothing together, and copies of a sentence count as one vector.
+    """
+    docs = df.select(key, text)
+    vectors = sentence_vectors(docs if partitioned else by_key(docs, key), key, text, threshold)
+    entry = F.struct("first", F.size("members").alias("n"), "members", "terms", "ws")
+    postings = (
+        vectors.select(key, entry.alias("e"), F.explode_outer("lead").alias("term"))
+        .groupBy(key, "term")
+        .agg(F.collect_list("e").alias("with_term"))
+        .select(key, "term", "with_term", F.explode_outer("with_term").alias("e"))
     )
 
-    def named(suffix):
-        return side.select(
-            key, "term", *[F.col(c).alias(f"{c}_{suffix}") for c in ("first", "n", "terms", "ws")]
+    def is_similar(other):
+        # a pair counts at its first shared term only
+        first_shared = F.get(F.array_intersect(other["terms"], F.col("e.terms")), F.lit(0))
+        cosine = F.round(_dot(other, F.col("e")), 9)
+        return (
+            (other["first"] < F.col("e.first"))
+            & (first_shared == F.col("term"))
+            & (cosine > threshold)
         )
 
-    return (
-        named("i").join(named("j"), [key, "term"])
-        .where(F.col("first_i") < F.col("first_j"))
-        # a pair counts at its first shared term only
-        .where(F.col("term") == F.get(F.array_intersect("terms_i", "terms_j"), F.lit(0)))
-        .withColumn("cosine", F.round(_cosine("terms_i", "ws_i", "terms_j", "ws_j"), 9))
-        .where(F.col("cosine") > threshold)
-        .select(key, "first_i", "first_j", "n_i", "n_j", "cosine")
+    earlier = F.when(
+        F.size("with_term") > 1,
+        F.transform(F.filter("with_term", is_similar), lambda o: F.struct(o["first"], o["n"])),
+    )
+    found = postings.select(
+        key, F.col("e.first").alias("first"), F.col("e.members").alias("members"), earlier.alias("earlier")
     )
+    return found.groupBy(key, "first", "members").agg(F.flatten(F.collect_list("earlier")).alias("earlier"))
 
 
-def similar_sentences(df: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """Pairs of different sentence vectors of a document with cosine above the threshold.
+def _dot(a, b):
+    """Dot product of two sparse vectors, each a struct of parallel arrays."""
 
-    Returns one row per pair of *vectors*: ``first_i < first_j`` are the first
-    sentences with each vector, ``n_i`` and ``n_j`` how many sentences share it.
-    Sentences with the same vector appear as one row with ``first_i = first_j``.
+    def weight(vector, term):
+        return F.get(vector["ws"], (F.array_position(vector["terms"], term) - 1).cast("int"))
 
-    Terms are ordered from rare to frequent. Two unit vectors with a dot product
-    of at least t share a term while the weight behind that term still reaches t
-    (otherwise the dot product is at most the length of the rest, below t). Only
-    those leading terms are joined, so frequent words produce no candidates.
-    """
-    vectors = sentence_vectors(df, key, text, threshold)
-    pairs = _similar_vectors(vectors, key, threshold)
-    same = vectors.where(F.size("members") > 1).select(
-        key, F.col("first").alias("first_i"), F.col("first").alias("first_j"),
-        F.size("members").alias("n_i"), F.size("members").alias("n_j"), F.lit(1.0).alias("cosine"),
-    )
-    return pairs.unionByName(same)
+    shared = F.array_intersect(a["terms"], b["terms"])
+    return F.aggregate(shared, F.lit(0.0), lambda total, t: total + weight(a, t) * weight(b, t))
 
 
-def redundancy_report(pairs: DataFrame, key: str) -> DataFrame:
+def redundancy_report(found: DataFrame, key: str) -> DataFrame:
     """Per document the number of similar sentence pairs, counted without listing them."""
-    count = F.when(
-        F.col("first_i") == F.col("first_j"), F.col("n_i") * (F.col("n_i") - 1) / 2
-    ).otherwise(F.col("n_i") * F.col("n_j"))
-    return pairs.groupBy(key).agg(F.sum(count).cast("bigint").alias("similar_pairs"))
+    n = F.size("members").cast("long")
+    among_copies = (n * (n - 1) / 2).cast("long")
+    with_earlier = F.aggregate("earlier", F.lit(0).cast("long"), lambda t, e: t + n * e["n"])
+    counted = found.groupBy(key).agg(F.sum(among_copies + with_earlier).alias("similar_pairs"))
+    return counted.where("similar_pairs > 0")
 
 
-def drop_redundant_sentences(df: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """Every sentence with ``dropped`` and the earliest sentence it is similar to.
+def redundant_sentences(
+    df: DataFrame, key: str, text: str, threshold: float = 0.8, partitioned: bool = False
+) -> DataFrame:
+    """Per document an array ``(sent_ix, similar_to)`` of its redundant sentences.
 
-    A sentence goes when its vector is similar to a vector that occurred before
-    it, also when that earlier sentence goes itself.
+    A sentence is redundant when it is similar to any earlier one, also when that
+    earlier sentence is redundant itself.
     """
-    vectors = sentence_vectors(df, key, text, threshold)
-    pairs = _similar_vectors(vectors, key, threshold)
-    earlier = pairs.groupBy(key, F.col("first_j").alias("first")).agg(F.min("first_i").alias("_by"))
-    marked = (
-        vectors.select(key, "first", "members")
-        .join(earlier, [key, "first"], "left")
-        .select(key, "first", "_by", F.explode("members").alias("sent_ix"))
-        .withColumn("similar_to", F.least("_by", F.when(F.col("sent_ix") > F.col("first"), F.col("first"))))
-        .select(key, "sent_ix", "similar_to")
-    )
-    sents = sentence_rows(df.select(key, text).repartition(key), key, text, lower=True)
-    return sents.join(marked, [key, "sent_ix"], "left").select(
-        key, "sent_ix", "sentence", F.col("similar_to").isNotNull().alias("dropped"), "similar_to"
+    found = similar_sentences(df, key, text, threshold, partitioned)
+    by = F.array_min(F.transform("earlier", lambda e: e["first"]))
+    marks = F.transform(
+        "members",
+        lambda m: F.struct(m.alias("sent_ix"), F.least(by, F.when(m > F.col("first"), F.col("first"))).alias("similar_to")),
     )
+    dropped = F.filter(marks, lambda m: m["similar_to"].isNotNull())
+    per_document = found.groupBy(key).agg(F.flatten(F.collect_list(dropped)).alias("redundant"))
+    return per_document.where(F.size("redundant") > 0)
 
 
-def joined_sentences(sents: DataFrame, key: str, out: str) -> DataFrame:
-    """Sentences put back together in order, one text per document."""
-    ordered = F.array_sort(F.collect_list(F.struct("sent_ix", "sentence")))
-    return sents.groupBy(key).agg(F.array_join(ordered["sentence"], " ").alias(out))
+def redundant_sentence_rows(df: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
+    """The report of removed sentences: position, the earlier sentence it repeats, its text."""
+    docs = by_key(df.select(key, text), key)
+    found = docs.join(redundant_sentences(docs, key, text, threshold, partitioned=True), key)
+    rows = found.select(key, T.sentences(text, lower=True).alias("_s"), F.explode("redundant").alias("r"))
+    return rows.select(key, "r.sent_ix", "r.similar_to", F.get("_s", F.col("r.sent_ix")).alias("sentence"))
 
 
-def dedupe_sentences(df: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """Texts without their redundant sentences, lower case, joined by spaces."""
-    kept = drop_redundant_sentences(df, key, text, threshold).where("not dropped")
-    return joined_sentences(kept, key, text)
+def dedupe_sentences(
+    df: DataFrame, key: str, text: str, threshold: float = 0.8, partitioned: bool = False
+) -> DataFrame:
+    """Texts without their redundant sentences, lower case, joined by spaces.
+
+    The documents meet their short list of redundant positions under the
+    partitioning they already have.
+    """
+    docs = df.select(key, text) if partitioned else by_key(df.select(key, text), key)
+    redundant = redundant_sentences(docs, key, text, threshold, partitioned=True)
+    gone = F.coalesce(F.col("redundant.sent_ix"), F.array().cast("array<int>"))
+    kept = F.filter(T.sentences(text, lower=True), lambda s, i: ~F.array_contains(gone, i))
+    return docs.join(redundant, key, "left").select(key, F.array_join(kept, " ").alias(text))
 
 
 # --------------------------------------------------------------------- summary
@@ -261,18 +286,18 @@ def _significant(stop_words: Sequence[str]):
     return ~F.col("term").isin(list(stop_words)) & ~in_punctuation
 
 
-def sentence_scores(df: DataFrame, key: str, text: str, stop_words: Sequence[str] = fixed.STOP_WORDS) -> DataFrame:
-    """Sentences with the sum of the document counts of their terms."""
-    sents = sentence_rows(df.select(key, text).repartition(key), key, text)
+def sentence_scores(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = fixed.STOP_WORDS) -> DataFrame:
+    """Score of every sentence with a counted term: the sum of the document counts of its terms.
+
+    ``docs`` are partitioned by key.
+    """
+    sents = sentence_rows(docs, key, text)
     terms = sents.select(key, "sent_ix", F.explode(T.word_tokens("sentence")).alias("term"))
     counts = terms.where(_significant(stop_words)).groupBy(key, "sent_ix", "term").agg(F.count("*").alias("n"))
     in_document = F.sum("n").over(W.partitionBy(key, "term"))
-    scores = counts.withColumn("all", in_document).groupBy(key, "sent_ix").agg(
+    return counts.withColumn("all", in_document).groupBy(key, "sent_ix").agg(
         F.sum(F.col("n") * F.col("all")).alias("score")
     )
-    return sents.join(scores, [key, "sent_ix"], "left").select(
-        key, "sent_ix", "sentence", F.coalesce("score", F.lit(0)).cast("bigint").alias("score")
-    )
 
 
 def summarize(
@@ -282,14 +307,30 @@ def summarize(
     best: int = 3,
     stop_words: Sequence[str] = fixed.STOP_WORDS,
     order: str = "score",
+    partitioned: bool = False,
 ) -> DataFrame:
-    """The best sentences of a document, in score order or in document order."""
-    scored = sentence_scores(df, key, text, stop_words)
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "sent_ix"))
-    top = scored.withColumn("_rank", rank).where(F.col("_rank") <= best)
-    place = "_rank" if order == "score" else "sent_ix"
-    ordered = F.array_sort(F.collect_list(F.struct(place, "sentence")))
-    return top.groupBy(key).agg(F.array_join(ordered["sentence"], " ").alias(text))
+    """The best sentences of a document, in score order or in document order.
+
+    Sentences without a counted term have score 0 and follow in document order.
+    """
+    docs = df.select(key, text) if partitioned else by_key(df.select(key, text), key)
+    scored = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "sent_ix")))
+    ranked = sentence_scores(docs, key, text, stop_words).groupBy(key).agg(
+        F.slice(scored, 1, best)["sent_ix"].alias("top")
+    )
+    sents = F.col("_s")
+    top = F.coalesce("top", F.array().cast("array<int>"))
+    unscored = F.filter(
+        F.transform(sents, lambda s, i: i), lambda i: (F.size(top) < best) & ~F.array_contains(top, i)
+    )
+    chosen = F.slice(F.concat(top, unscored), 1, best)
+    chosen = F.sort_array(chosen) if order == "document" else chosen
+    joined = F.array_join(F.transform(chosen, lambda i: F.get(sents, i)), " ")
+    return (
+        docs.join(ranked, key, "left")
+        .withColumn("_s", T.sentences(text))
+        .select(key, joined.alias(text))
+    )
 
 
 # ------------------------------------------------------------------- transform
@@ -312,7 +353,9 @@ def transform_long_texts(
     is_long = words >= threshold
     short = df.where(~F.coalesce(is_long, F.lit(False)))
     long_ = df.where(is_long)
-    summaries = summarize(dedupe_sentences(long_, key, text, similarity), key, text, best)
+    docs = by_key(long_.select(key, text), key)
+    deduped = dedupe_sentences(docs, key, text, similarity, partitioned=True)
+    summaries = summarize(deduped, key, text, best, partitioned=True)
     rest = long_.drop(text).join(summaries, key, "left").withColumn(text, F.coalesce(text, F.lit("")))
     return short.unionByName(rest.select(*df.columns))
 

@@ -531,8 +531,7 @@ def sentence_tfidf(spark, folder):
     f"WITH {sql_similar('documents')} SELECT doc_id, sent_ix, similar_to, sentence FROM sents JOIN dropped USING (doc_id, sent_ix)",
 )
 def redundant_sentences(spark, folder):
-    marked = O.drop_redundant_sentences(table(spark, folder, "documents"), "doc_id", "text")
-    return marked.where("dropped").select("doc_id", "sent_ix", "similar_to", "sentence")
+    return O.redundant_sentence_rows(table(spark, folder, "documents"), "doc_id", "text")
 
 
 @query(
@@ -543,7 +542,7 @@ def redundancy_report(spark, folder):
     return O.redundancy_report(O.similar_sentences(table(spark, folder, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query("dedupe_sentences_text", f"WITH {sql_deduped('documents')} SELECT doc_id, text FROM deduped")
+@query("dedupe_sentences_text", f"WITH {sql_deduped('documents')} SELECT doc_id, coalesce(deduped.text, '') AS text FROM documents LEFT JOIN deduped USING (doc_id)")
 def dedupe_sentences_text(spark, folder):
     return O.dedupe_sentences(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -554,7 +553,7 @@ def document_terms(spark, folder):
     return O.document_terms(docs, "doc_id", "text")
 
 
-@query("summary_top3", f"WITH {sql_summary('documents')} SELECT doc_id, text FROM summary")
+@query("summary_top3", f"WITH {sql_summary('documents')} SELECT doc_id, coalesce(summary.text, '') AS text FROM documents LEFT JOIN summary USING (doc_id)")
 def summary_top3(spark, folder):
     return O.summarize(table(spark, folder, "documents"), "doc_id", "text")
 

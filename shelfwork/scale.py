@@ -37,6 +37,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * cores, *keys)
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key once, so that later groupings below the key need no shuffle.
+
+    The number of partitions is explicit: the rows are about to be multiplied
+    and must not be merged into few partitions because they are still small.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores), *keys)
+
+
 def bounded(df: DataFrame, max_rows: int = DIM_ROWS) -> DataFrame | None:
     """``df`` as a local relation if it has at most ``max_rows`` small rows, else None."""
     if max_rows <= 0:
