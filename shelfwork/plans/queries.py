@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import text_queries  # noqa: F401
+from . import label_queries, report_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
