@@ -238,8 +238,10 @@ def word_ngrams(tokens, n: int) -> Column:
 
 
 def numbered_batch(pairs) -> Column:
-    """``1. a;\\n2. b`` from an array of (number, text) in order of number."""
-    lines = F.transform(F.sort_array(pairs), lambda p: F.concat(p[0].cast("string"), F.lit(". "), p[1]))
+    """``1. a;\\n2. b`` from an array of structs (number, line) in order of number."""
+    lines = F.transform(
+        F.sort_array(pairs), lambda p: F.concat(p["number"].cast("string"), F.lit(". "), p["line"])
+    )
     return F.array_join(lines, ";\n")
 
 

@@ -107,7 +107,7 @@ def draw_cutoffs(
     total = F.sum("_n").over(W.partitionBy(*classes))
     counted = slices.withColumn("_upto", upto).withColumn("_total", total)
     edges = (
-        join_dim(counted, want, classes, "inner")
+        counted.join(want, classes)  # both sides are counts, partitioned by class
         .withColumn("_want", F.least("_want", "_total"))
         .where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
         .select(*classes, "_slice", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_left"))
