@@ -138,12 +138,22 @@ def _cosine(a_terms: str, a_weights: str, b_terms: str, b_weights: str):
 def sentence_vectors(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """The distinct sentence vectors of documents that are partitioned by key.
 
-    ``members`` are the sentences that share the vector, ``first`` the earliest
-    of them. ``terms`` run from rare to frequent; ``lead`` are the terms up to
-    the point where the squared weight still to come falls below threshold².
+    ``members`` are the sentences with the same words (in any order), ``first``
+    the earliest of them. ``terms`` run from rare to frequent; ``lead`` are the
+    terms up to the point where the squared weight still to come falls below
+    threshold².
     """
-    raw = _raw_weights(sentence_rows(docs, key, text, lower=True), key)
-    in_sentence = W.partitionBy(key, "sent_ix")
+    sents = sentence_rows(docs, key, text, lower=True)
+    words = F.array_join(F.sort_array(T.similarity_tokens("sentence")), " ")
+    same = sents.select(key, "n_sents", "sent_ix", words.alias("words")).where("words <> ''")
+    same = same.groupBy(key, "n_sents", "words").agg(F.sort_array(F.collect_list("sent_ix")).alias("members"))
+    same = same.withColumn("first", F.get("members", F.lit(0)))
+    terms = same.select(key, "n_sents", "first", "members", F.explode(F.split("words", " ")).alias("term"))
+    counts = terms.groupBy(key, "n_sents", "first", "members", "term").agg(F.count("*").alias("tf"))
+    in_document = F.sum(F.size("members")).over(W.partitionBy(key, "term"))
+    idf = F.log((F.lit(1.0) + F.col("n_sents")) / (F.lit(1.0) + F.col("df"))) + 1.0
+    raw = counts.withColumn("df", in_document).withColumn("raw", F.col("tf") * idf)
+    in_sentence = W.partitionBy(key, "first")
     frequent_first = in_sentence.orderBy(F.desc("df"), F.desc("term"))
     square = F.col("raw") * F.col("raw")
     weights = (
@@ -152,11 +162,9 @@ def sentence_vectors(docs: DataFrame, key: str, text: str, threshold: float) ->
         .withColumn("w", F.col("raw") / F.sqrt("total"))
         .withColumn("leads", F.col("to_come") / F.col("total") >= threshold * threshold - 1e-9)
     )
-    entry = F.struct("df", "term", "tf", "w", "leads")
-    vectors = weights.groupBy(key, "sent_ix").agg(F.sort_array(F.collect_list(entry)).alias("v"))
-    return vectors.groupBy(key, "v").agg(
-        F.min("sent_ix").alias("first"), F.sort_array(F.collect_list("sent_ix")).alias("members")
-    ).select(
+    entry = F.struct("df", "term", "w", "leads")
+    vectors = weights.groupBy(key, "first", "members").agg(F.sort_array(F.collect_list(entry)).alias("v"))
+    return vectors.select(
         key,
         "first",
         "members",
@@ -169,7 +177,7 @@ def sentence_vectors(docs: DataFrame, key: str, text: str, threshold: float) ->
 def similar_sentences(
     df: DataFrame, key: str, text: str, threshold: float = 0.8, partitioned: bool = False
 ) -> DataFrame:
-    """Every distinct sentence vector of a document with the earlier vectors it is similar to.
+    """Sentence vectors of a document that occur more than once or resemble an earlier vector.
 
     ``first`` is the first sentence with the vector, ``members`` all sentences
     with it, ``earlier`` the array ``(first, n)`` of vectors that occurred before
@@ -183,11 +191,13 @@ def similar_sentences(
     """
     docs = df.select(key, text)
     vectors = sentence_vectors(docs if partitioned else by_key(docs, key), key, text, threshold)
+    repeated = F.size("members") > 1
     entry = F.struct("first", F.size("members").alias("n"), "members", "terms", "ws")
     postings = (
-        vectors.select(key, entry.alias("e"), F.explode_outer("lead").alias("term"))
+        vectors.select(key, entry.alias("e"), repeated.alias("repeated"), F.explode_outer("lead").alias("term"))
         .groupBy(key, "term")
-        .agg(F.collect_list("e").alias("with_term"))
+        .agg(F.collect_list("e").alias("with_term"), F.max("repeated").alias("repeated"))
+        .where((F.size("with_term") > 1) | F.col("repeated"))
         .select(key, "term", "with_term", F.explode_outer("with_term").alias("e"))
     )
 
@@ -201,14 +211,15 @@ def similar_sentences(
             & (cosine > threshold)
         )
 
-    earlier = F.when(
-        F.size("with_term") > 1,
-        F.transform(F.filter("with_term", is_similar), lambda o: F.struct(o["first"], o["n"])),
-    )
+    earlier = F.transform(F.filter("with_term", is_similar), lambda o: F.struct(o["first"], o["n"]))
     found = postings.select(
         key, F.col("e.first").alias("first"), F.col("e.members").alias("members"), earlier.alias("earlier")
     )
-    return found.groupBy(key, "first", "members").agg(F.flatten(F.collect_list("earlier")).alias("earlier"))
+    return (
+        found.where((F.size("earlier") > 0) | repeated)
+        .groupBy(key, "first", "members")
+        .agg(F.flatten(F.collect_list("earlier")).alias("earlier"))
+    )
 
 
 def _dot(a, b):
