@@ -11,8 +11,11 @@ from ..operators.evaluate import upsert_latest
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False, mode: str = "overwrite") -> None:
-    """CSV with header; quotes are doubled, empty strings stay apart from nulls."""
-    writer = df.write.mode(mode).options(header=True, quote='"', escape='"', quoteAll=quote_all, emptyValue='""' if not quote_all else "")
+    """CSV with header; quotes are doubled, white space is kept."""
+    writer = df.write.mode(mode).options(
+        header=True, quote='"', escape='"', quoteAll=quote_all,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
     writer.csv(path)
 
 
