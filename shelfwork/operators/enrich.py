@@ -38,6 +38,11 @@ def with_chunks(df: DataFrame, key: str, chunk_rows: int = 250) -> DataFrame:
     return placed.withColumn("chunk", balanced_chunk(F.col("_pos"), rows, chunks)).drop("_pos")
 
 
+def fixed_batches(df: DataFrame, key: str, size: int) -> DataFrame:
+    """Batch number of every row, in key order: 0 for the first ``size`` rows, and so on."""
+    return with_position(df, key, "_pos").withColumn("batch", F.floor(F.col("_pos") / size)).drop("_pos")
+
+
 def length_class(text: str) -> tuple[Column, Column]:
     """Name and batch size of the length class of a text."""
     words = T.word_count_white(text)
@@ -164,6 +169,33 @@ def enrich(
     return out
 
 
+def enrich_resumable(
+    df: DataFrame, key: str, text: str, call: Callable, store: str, chunk_rows: int = 250, retries: int = 2
+) -> DataFrame:
+    """Enrich the rows the store has no good reply for, append the replies, return the store.
+
+    The replies are on disk before anyone reads them. A run that dies leaves only
+    whole appends behind; the next run continues with the rows that are missing.
+    """
+    spark = df.sparkSession
+    done = _stored(spark, store)
+    open_rows = df.select(key, text)
+    if done is not None:
+        open_rows = open_rows.join(done.where("status = 'ok'").select(key), key, "left_anti")
+    batched = with_batches(with_chunks(open_rows, key, chunk_rows), key, text)
+    enrich_batches(batched, key, text, call, retries).write.mode("append").parquet(store)
+    rows = _stored(spark, store)
+    best = F.min(F.struct((F.col("status") != "ok").alias("bad"), "reply", "status", "calls", "error")).alias("b")
+    return rows.groupBy(key).agg(best).select(key, "b.reply", "b.status", "b.calls", "b.error")
+
+
+def _stored(spark, path: str) -> DataFrame | None:
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        return None
+    return spark.read.parquet(path)
+
+
 def compare_models(df: DataFrame, key: str, text: str, calls: dict[str, Callable], chunk_rows: int = 250) -> DataFrame:
     """Several functions side by side: long form ``(key, model, reply, status)``."""
     batched = with_batches(with_chunks(df.select(key, text), key, chunk_rows), key, text)

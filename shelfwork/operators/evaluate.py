@@ -123,6 +123,15 @@ def accuracy(df: DataFrame, true: str, predicted: str) -> DataFrame:
     return df.agg(F.avg(right).alias("accuracy"), F.count_distinct(predicted).alias("predicted_classes"))
 
 
+def accuracy_by_split(df: DataFrame, split: str, true: str, predicted: str) -> DataFrame:
+    """Accuracy of train, validation and test, and the differences between them, one row."""
+    right = F.when(F.col(true) == F.col(predicted), 1.0).otherwise(0.0)
+    parts = [F.avg(F.when(F.col(split) == s, right)).alias(s) for s in ("train", "val", "test")]
+    return df.agg(*parts).withColumns(
+        {"val_minus_train": F.col("val") - F.col("train"), "test_minus_val": F.col("test") - F.col("val")}
+    )
+
+
 def upsert_latest(stored: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """Stored and new results, the latest per key."""
     rows = stored.unionByName(new)

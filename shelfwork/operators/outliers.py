@@ -377,3 +377,10 @@ def transform_stats(before: DataFrame, after: DataFrame, text: str) -> DataFrame
         text_stats(before, text).withColumn("phase", F.lit("before"))
         .unionByName(text_stats(after, text).withColumn("phase", F.lit("after")))
     )
+
+
+def transform_report(before: DataFrame, after: DataFrame, key: str, text: str) -> DataFrame:
+    """Texts that changed, before and after."""
+    new = after.select(key, F.col(text).alias("after"))
+    old = before.select(key, F.col(text).alias("before"))
+    return old.join(new, key).where(~F.col("before").eqNullSafe(F.col("after")))

@@ -126,7 +126,9 @@ def language_profiles(df: DataFrame, language: str, text: str, size: int = 300)
     """The most frequent trigrams per language with their share in parts per million."""
     grams = df.select(language, F.explode(T.char_ngrams(F.lower(F.col(text)), 3)).alias("gram"))
     counts = grams.groupBy(language, "gram").agg(F.count("*").alias("n"))
-    totals = counts.groupBy(language).agg(F.sum("n").alias("total"))
+    # a text of n characters has n - 2 trigrams: no second pass over them
+    runs = F.greatest(F.length(F.lower(F.col(text))) - 2, F.lit(0))
+    totals = df.groupBy(language).agg(F.sum(runs).alias("total"))
     rank = F.row_number().over(W.partitionBy(language).orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")
     share = F.floor(F.col("n") * 1_000_000 / F.col("total")).cast("bigint")

@@ -188,6 +188,26 @@ def overfit_gap(spark, folder):
     return rounded(judged, "train_accuracy", "val_accuracy", "gap")
 
 
+@query(
+    "accuracy_by_split",
+    f"""
+    WITH p AS (SELECT p.*, CASE WHEN length(d.text) < 500 THEN 'train' WHEN length(d.text) < 2000 THEN 'val' ELSE 'test' END AS split
+      FROM {PRED} p JOIN documents d ON d.doc_id = p.vec_id),
+    a AS (SELECT avg(CASE WHEN label = pred THEN 1.0::DOUBLE ELSE 0 END) FILTER (split = 'train') AS train,
+      avg(CASE WHEN label = pred THEN 1.0::DOUBLE ELSE 0 END) FILTER (split = 'val') AS val,
+      avg(CASE WHEN label = pred THEN 1.0::DOUBLE ELSE 0 END) FILTER (split = 'test') AS test FROM p)
+    SELECT round(train, 6) AS train, round(val, 6) AS val, round(test, 6) AS test,
+      round(val - train, 6) AS val_minus_train, round(test - val, 6) AS test_minus_val FROM a
+    """,
+)
+def accuracy_by_split(spark, folder):
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), F.length("text").alias("n"))
+    part = F.when(F.col("n") < 500, "train").when(F.col("n") < 2000, "val").otherwise("test")
+    rows = predicted(spark, folder).join(docs, "vec_id").withColumn("split", part)
+    out = E.accuracy_by_split(rows, "split", "label", "pred")
+    return rounded(out, *out.columns)
+
+
 # ------------------------------------------------------------------- histories
 
 # Events play batch rows of training runs: user = run, day = epoch.

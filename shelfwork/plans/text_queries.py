@@ -558,16 +558,20 @@ def summary_top3(spark, folder):
     return O.summarize(table(spark, folder, "documents"), "doc_id", "text")
 
 
-SQL_TRANSFORM = f"""
-    long_docs AS (SELECT * FROM documents WHERE {WORDS} >= {LONG}),
+def sql_transform(source: str) -> str:
+    return f"""
+    long_docs AS (SELECT * FROM {source} WHERE {WORDS} >= {LONG}),
     {sql_deduped('long_docs')},
     {sql_summary('deduped')},
     transformed AS (
       SELECT d.doc_id, d.lang, CASE WHEN {WORDS.replace('text', 'd.text')} >= {LONG} THEN coalesce(s.text, '') ELSE d.text END AS text
-      FROM documents d LEFT JOIN summary s USING (doc_id)
+      FROM {source} d LEFT JOIN summary s USING (doc_id)
     )"""
 
 
+SQL_TRANSFORM = sql_transform("documents")
+
+
 @query("outlier_transform", f"WITH {SQL_TRANSFORM} SELECT doc_id, lang, text FROM transformed")
 def outlier_transform(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
@@ -583,6 +587,15 @@ def _phase(source: str, name: str) -> str:
     FROM (SELECT {WORDS} AS w, len({SENTS % 'text'}) AS s FROM {source})"""
 
 
+@query(
+    "outlier_transform_report",
+    f"WITH {SQL_TRANSFORM} SELECT doc_id, d.text AS before, t.text AS after FROM documents d JOIN transformed t USING (doc_id) WHERE d.text <> t.text",
+)
+def outlier_transform_report(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return O.transform_report(docs, O.transform_long_texts(docs, "doc_id", "text", LONG), "doc_id", "text")
+
+
 @query(
     "outlier_transform_stats",
     f"WITH {SQL_TRANSFORM} {_phase('documents', 'before')} UNION ALL {_phase('transformed', 'after')}",
@@ -624,3 +637,36 @@ def write_back(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
     changes = table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     return C.write_back(docs, changes, "doc_id", "text")
+
+
+# ------------------------------------------------------------ the whole preparation
+
+SQL_PREPARED = f"""
+    merged AS (
+      SELECT conv_id * 100000 + turn AS doc_id, CASE WHEN turn % 2 = 0 THEN 'even' ELSE 'odd' END AS lang,
+        CASE WHEN coalesce(description, ' ') = title THEN title ELSE title || '; ' || coalesce(description, ' ') END AS text
+      FROM ({TURN_PAIRS})
+    ),
+    cleaned AS (SELECT doc_id, lang, {sql_clean('text')} AS text FROM merged),
+    {sql_transform('cleaned')}"""
+
+
+@query(
+    "prepare_catalogue",
+    f"""
+    WITH {SQL_PREPARED}
+    SELECT doc_id, lang, text FROM transformed
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id)
+      <= (SELECT min(n) FROM (SELECT count(*) AS n FROM transformed GROUP BY lang))
+    """,
+)
+def prepare_catalogue(spark, folder):
+    from .catalogue import Settings, prepare
+
+    pairs = turn_pairs(spark, folder).select(
+        (F.col("conv_id") * 100000 + F.col("turn")).alias("doc_id"),
+        F.when(F.col("turn") % 2 == 0, "even").otherwise("odd").alias("lang"),
+        "title", "description",
+    )
+    settings = Settings(cleaning=(T.clean_text,), balance="undersample")
+    return prepare(pairs, "doc_id", "lang", "title", "description", settings).select("doc_id", "lang", "text")

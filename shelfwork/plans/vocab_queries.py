@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import enrich as L
 from ..operators import vocab as V
 from ..scale import spread
+from ..session import shared_folder
 from .registry import query, table
 from .text_queries import SENTS, sql_text
 
@@ -222,6 +223,11 @@ def chunk_ids(spark, folder):
     return L.with_chunks(table(spark, folder, "documents").select("doc_id"), "doc_id")
 
 
+@query("fixed_batches", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS batch FROM documents")
+def fixed_batches(spark, folder):
+    return L.fixed_batches(table(spark, folder, "documents").select("doc_id"), "doc_id", 10)
+
+
 def batched(spark, folder):
     rows = table(spark, folder, "documents").select("doc_id", "text")
     return L.with_batches(L.with_chunks(rows, "doc_id"), "doc_id", "text")
@@ -322,3 +328,15 @@ def compare_models(spark, folder):
     calls = {"model:a": digest, "model.b": reversed_digest}
     long = L.compare_models(table(spark, folder, "documents"), "doc_id", "text", calls)
     return L.side_by_side(long, "doc_id", "text", list(calls))
+
+
+@query(
+    "enrich_resume",
+    "SELECT doc_id, CASE WHEN ends_with(text, ',') THEN NULL ELSE md5(text) END AS reply, CASE WHEN ends_with(text, ',') THEN 'missing' ELSE 'ok' END AS status FROM documents",
+)
+def enrich_resume(spark, folder):
+    # A first run sees one language only; the second continues with the rest.
+    rows = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    store = shared_folder(spark, "replies")
+    L.enrich_resumable(rows.where("lang = 'en'"), "doc_id", "text", digest, store)
+    return L.enrich_resumable(rows, "doc_id", "text", digest, store).select("doc_id", "reply", "status")
