@@ -90,13 +90,13 @@ def length_between(df: DataFrame, text: str, low: int, high: int) -> DataFrame:
 # ------------------------------------------------------------------- sentences
 
 
-def sentence_rows(df: DataFrame, key: str, text: str, lower: bool = False) -> DataFrame:
+def sentence_rows(df: DataFrame, key: str, text: str, lower: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """One row per sentence: key, position, sentence and the document's number of sentences."""
-    found = df.select(key, T.sentences(text, lower).alias("_s"))
+    found = df.select(key, *keep, T.sentences(text, lower).alias("_s"))
     # The outer form keeps Spark from deriving "has sentences" as a filter below
     # the shuffle, where it would split every text once more.
     rows = found.select(
-        key, F.size("_s").alias("n_sents"), F.posexplode_outer("_s").alias("sent_ix", "sentence")
+        key, *keep, F.size("_s").alias("n_sents"), F.posexplode_outer("_s").alias("sent_ix", "sentence")
     )
     return rows.where("sentence is not null")
 
@@ -297,18 +297,17 @@ def _significant(stop_words: Sequence[str]):
     return ~F.col("term").isin(list(stop_words)) & ~in_punctuation
 
 
-def sentence_scores(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = fixed.STOP_WORDS) -> DataFrame:
-    """Score of every sentence with a counted term: the sum of the document counts of its terms.
+def sentence_scores(sents: DataFrame, key: str, stop_words: Sequence[str] = fixed.STOP_WORDS) -> DataFrame:
+    """Score of every sentence: the sum of the document counts of its terms, 0 without a counted term.
 
-    ``docs`` are partitioned by key.
+    ``sents`` are sentence rows of documents partitioned by key.
     """
-    sents = sentence_rows(docs, key, text)
-    terms = sents.select(key, "sent_ix", F.explode(T.word_tokens("sentence")).alias("term"))
-    counts = terms.where(_significant(stop_words)).groupBy(key, "sent_ix", "term").agg(F.count("*").alias("n"))
+    terms = sents.select(key, "sent_ix", F.explode_outer(T.word_tokens("sentence")).alias("term"))
+    counts = terms.groupBy(key, "sent_ix", "term").agg(F.count("*").alias("n"))
     in_document = F.sum("n").over(W.partitionBy(key, "term"))
-    return counts.withColumn("all", in_document).groupBy(key, "sent_ix").agg(
-        F.sum(F.col("n") * F.col("all")).alias("score")
-    )
+    counted = F.coalesce(_significant(stop_words), F.lit(False))
+    points = F.when(counted, F.col("n") * F.col("all")).otherwise(0)
+    return counts.withColumn("all", in_document).groupBy(key, "sent_ix").agg(F.sum(points).alias("score"))
 
 
 def summarize(
@@ -318,29 +317,37 @@ def summarize(
     best: int = 3,
     stop_words: Sequence[str] = fixed.STOP_WORDS,
     order: str = "score",
+    redundant: DataFrame | None = None,
     partitioned: bool = False,
 ) -> DataFrame:
     """The best sentences of a document, in score order or in document order.
 
-    Sentences without a counted term have score 0 and follow in document order.
+    Ties go to the earlier sentence. With ``redundant`` (see
+    ``redundant_sentences``) the summary is that of the lower-case text without
+    those sentences. Only positions are ranked; the sentences are then picked
+    from the text under the partitioning it has.
     """
     docs = df.select(key, text) if partitioned else by_key(df.select(key, text), key)
-    scored = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "sent_ix")))
-    ranked = sentence_scores(docs, key, text, stop_words).groupBy(key).agg(
-        F.slice(scored, 1, best)["sent_ix"].alias("top")
-    )
-    sents = F.col("_s")
-    top = F.coalesce("top", F.array().cast("array<int>"))
-    unscored = F.filter(
-        F.transform(sents, lambda s, i: i), lambda i: (F.size(top) < best) & ~F.array_contains(top, i)
-    )
-    chosen = F.slice(F.concat(top, unscored), 1, best)
-    chosen = F.sort_array(chosen) if order == "document" else chosen
-    joined = F.array_join(F.transform(chosen, lambda i: F.get(sents, i)), " ")
+    lower = redundant is not None
+    if lower:
+        gone = redundant.select(key, F.col("redundant.sent_ix").alias("gone"))
+        sents = sentence_rows(docs.join(gone, key, "left"), key, text, lower, keep=["gone"])
+        removed = F.coalesce("gone", F.array().cast("array<int>"))
+        places = F.sequence(F.lit(0), F.col("n_sents") - 1)
+        first_left = F.array_min(F.filter(places, lambda i: ~F.array_contains(removed, i)))
+        # marks without words at the very start of a text belong to no sentence
+        no_start = F.when(F.col("sentence").rlike("^[.!?]"), F.col("sent_ix") == first_left).otherwise(F.lit(False))
+        sents = sents.where(~F.array_contains(removed, F.col("sent_ix")) & ~no_start)
+    else:
+        sents = sentence_rows(docs, key, text)
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "sent_ix")))
+    top = sentence_scores(sents, key, stop_words).groupBy(key).agg(F.slice(ranked, 1, best)["sent_ix"].alias("top"))
+    chosen = F.sort_array("top") if order == "document" else F.col("top")
+    picked = F.array_join(F.transform(chosen, lambda i: F.get(F.col("_s"), i)), " ")
     return (
-        docs.join(ranked, key, "left")
-        .withColumn("_s", T.sentences(text))
-        .select(key, joined.alias(text))
+        docs.join(top, key, "left")
+        .withColumn("_s", T.sentences(text, lower))
+        .select(key, F.coalesce(picked, F.lit("")).alias(text))
     )
 
 
@@ -365,8 +372,8 @@ def transform_long_texts(
     short = df.where(~F.coalesce(is_long, F.lit(False)))
     long_ = df.where(is_long)
     docs = by_key(long_.select(key, text), key)
-    deduped = dedupe_sentences(docs, key, text, similarity, partitioned=True)
-    summaries = summarize(deduped, key, text, best, partitioned=True)
+    redundant = redundant_sentences(docs, key, text, similarity, partitioned=True)
+    summaries = summarize(docs, key, text, best, redundant=redundant, partitioned=True)
     rest = long_.drop(text).join(summaries, key, "left").withColumn(text, F.coalesce(text, F.lit("")))
     return short.unionByName(rest.select(*df.columns))
 

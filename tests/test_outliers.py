@@ -102,6 +102,15 @@ def test_summary(frame, texts):
         assert in_order[i] == " ".join(sents[k] for k in sorted(ranked))
 
 
+def test_summary_of_the_deduped_text(frame, texts):
+    redundant = O.redundant_sentences(frame, "id", "text")
+    got = {r["id"]: r["text"] for r in O.summarize(frame, "id", "text", redundant=redundant).collect()}
+    deduped = {r["id"]: r["text"] for r in O.dedupe_sentences(frame, "id", "text").collect()}
+    for i in range(len(texts)):
+        ranked, sents = summary(deduped[i])
+        assert got[i] == " ".join(sents[k] for k in ranked)
+
+
 def test_only_long_texts_change(spark):
     short, long_ = "A b. A b. C d.", " ".join(["Word one two."] * 80)
     df = spark.createDataFrame([(1, short, "x"), (2, long_, "y"), (3, None, "z")], "id int, text string, more string")
