@@ -68,6 +68,20 @@ def decode_sequences(df: DataFrame, key: str, ids: str, vocab: DataFrame, num_wo
     return words.groupBy(key).agg(F.array_join(ordered, " ").alias("text"))
 
 
+def corpus_tfidf(df: DataFrame, key: str, text: str, num_words: int = 60_000) -> DataFrame:
+    """Count times ln((N + 1) / (df + 1)) of the most frequent words, one row per text and word."""
+    docs = by_key(df.select(key, text), key)
+    counts = docs.select(key, F.explode(T.vocabulary_tokens(text)).alias("term")).groupBy(key, "term").agg(
+        F.count("*").alias("n")
+    )
+    kept = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
+    kept = kept.orderBy(F.desc("total"), "term").limit(num_words).select("term", "df")
+    texts = df.agg(F.count("*").alias("texts"))
+    weighed = counts.join(F.broadcast(kept) if num_words <= MAX_BROADCAST_TERMS else kept, "term")
+    idf = F.log((texts.scalar() + F.lit(1.0)) / (F.col("df") + F.lit(1.0)))
+    return weighed.select(key, "term", (F.col("n") * idf).alias("weight"))
+
+
 def char_ngram_counts(df: DataFrame, text: str, sizes: Sequence[int] = (2, 3, 4, 5)) -> DataFrame:
     """Counts of all character n-grams."""
     grams = F.flatten(F.array(*[T.char_ngrams(text, n) for n in sizes]))

@@ -72,6 +72,19 @@ def decode_sequences(spark, folder):
     return V.decode_sequences(ids, "doc_id", "ids", vocab, 5000)
 
 
+@query(
+    "corpus_tfidf",
+    f"""
+    WITH c AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL),
+    k AS (SELECT term, count(*) AS df FROM c GROUP BY term ORDER BY sum(n) DESC, term LIMIT 5000)
+    SELECT doc_id, term, round(n * ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)), 6) AS weight FROM c JOIN k USING (term)
+    """,
+)
+def corpus_tfidf(spark, folder):
+    out = V.corpus_tfidf(table(spark, folder, "documents"), "doc_id", "text", 5000)
+    return out.withColumn("weight", F.round("weight", 6))
+
+
 @query(
     "char_ngrams",
     """
