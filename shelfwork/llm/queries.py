@@ -1,4 +1,4 @@
 """All registered queries of the operators in this folder."""
 
-from . import bpe, chat, decontaminate, simhash  # noqa: F401
+from . import bpe, chat, decontaminate, quality, simhash, toxicity  # noqa: F401
 from .common import QUERIES, SQL  # noqa: F401
