@@ -30,9 +30,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; without an id, all stay."""
-    groups = simhash.near_duplicates(docs, shingle=5, near=simhash.NEAR)
-    gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
+    """Of each group of texts whose five-word shingles are alike by 0.8, the document with the smallest id.
+
+    Rows without an id all stay, and so do rows that repeat that id.
+    """
+    groups = simhash.similar_texts(docs, shingle=5, similarity=0.8)
+    gone = groups.filter("doc_id != group_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
