@@ -86,7 +86,7 @@ def _filed(rows: DataFrame, width: int) -> DataFrame:
 
 def _chain(members: np.ndarray, near: int) -> list[tuple[int, int]]:
     """Links that join what can be reached inside one file, one fewer than it has members at most."""
-    rest, found = members, []
+    rest, found = members.view(np.uint64), []  # numpy counts the bits of a signed number's absolute value
     while len(rest):
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
@@ -121,7 +121,7 @@ def _of_files(own: np.ndarray, cuts: np.ndarray, near: int) -> pa.RecordBatch:
     sizes = np.diff(bounds)
     for i in np.flatnonzero(sizes > 1):
         found += _chain(own[2, bounds[i] : bounds[i + 1]], near)
-    a = np.array(found, np.int64).reshape(-1, 2)
+    a = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(a.max(1) if len(a) else a[:, 0]), pa.array(a.min(1) if len(a) else a[:, 0])], ["a", "b"])
 
 
