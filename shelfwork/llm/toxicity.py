@@ -99,8 +99,7 @@ def dictionaries(sample: DataFrame, frequent: int = FREQUENT, outstanding: int =
     met = met.filter(F.col("word").isNotNull() & (F.octet_length("word") <= 64)).distinct()
     counts = stored(met.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("ordinary")), "words-of-classes")
     n = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0.0)).alias("toxic"), F.coalesce(F.sum("ordinary"), F.lit(0.0)).alias("ordinary")).first()
-    common = [r["word"] for r in counts.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "word").limit(frequent).select("word").collect()]
-    tails = []
+    chosen = []
     for own, other in (("ordinary", "toxic"), ("toxic", "ordinary")):
         both = n[own] + n[other] or 1.0
         share = (F.col(own) + F.col(other)) / both
@@ -109,7 +108,11 @@ def dictionaries(sample: DataFrame, frequent: int = FREQUENT, outstanding: int =
         z = ((F.col(own) - expected) / spread).alias("z")
         lifted = F.col(own) * n[other] >= LIFT * F.col(other) * n[own]
         best = counts.filter(lifted).select("word", z).filter(F.col("z") > DEVIATIONS).orderBy(F.desc("z"), "word").limit(outstanding)
-        tails.append(_entries(r["word"] for r in reversed(best.collect())))  # the best come last, nearest to the text
+        chosen.append([r["word"] for r in reversed(best.collect())])  # the best come last, nearest to the text
+    marked = {w for words in chosen for w in words}
+    common = counts.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "word").limit(frequent + len(marked)).select("word").collect()
+    common = [r["word"] for r in common if r["word"] not in marked][:frequent]
+    tails = [_entries(words) for words in chosen]
     size = max(map(len, tails))
     return Model(*[LINE + _entries(reversed(common)) + tail.rjust(size, b"\0") for tail in tails])
 
