@@ -12,13 +12,19 @@ MOJIBAKE = [
     ("Â", ""), ("Ã", ""),
 ]
 
+# White space of all scripts (as Python's str.isspace has it), for character classes.
+# Written out, because \s means ASCII only in some engines and not in others.
+WHITE_LETTERS = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = f"[{WHITE_LETTERS}]"
+NOT_WHITE = f"[^{WHITE_LETTERS}]"
+
 # Patterns of the cleaning chain.
 TAGS = "<[^>]+>"
-WEB_WORDS = r"http\S+|www\S+"
-EMAILS = r"\S+@\S+"
+WEB_WORDS = f"http{NOT_WHITE}+|www{NOT_WHITE}+"
+EMAILS = f"{NOT_WHITE}+@{NOT_WHITE}+"
 ENTITIES = "&[a-z]+;"
-OUTSIDE_CHARSET = r"[^a-zA-Z0-9\s.,!?;:\-àâäéèêëïîôùûüÿçÀÂÄÉÈÊËÏÎÔÙÛÜŸÇ]"
-SPACES = r"\s+"
+OUTSIDE_CHARSET = rf"[^a-zA-Z0-9{WHITE_LETTERS}.,!?;:\-àâäéèêëïîôùûüÿçÀÂÄÉÈÊËÏÎÔÙÛÜŸÇ]"
+SPACES = f"{WHITE}+"
 
 # Patterns of the model text.
 SPACED_MARKS = "([?;!,¿])"
@@ -55,10 +61,6 @@ LENGTH_CLASSES = [("short", 200, 5), ("medium", 500, 3), ("long", 2000, 2), ("ve
 ACCURACY_BANDS = [(0.65, "excellent"), (0.58, "good"), (0.52, "modest")]
 GAP_BANDS = [(0.15, "significant"), (0.08, "moderate")]
 
-# Per-channel mean and deviation (red, green, blue) of image scaling.
-CHANNEL_MEAN = [0.485, 0.456, 0.406]
-CHANNEL_STD = [0.229, 0.224, 0.225]
-
 # English contractions, in matching order. The same entries with a
 # curly apostrophe follow by rule.
 CONTRACTIONS = {

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
 
-WHITE = "[ \\t\\n\\r\\f\\x0B]"
+WHITE = fixed.WHITE
 
 
 def _flat(pattern: str) -> str:
@@ -25,7 +25,7 @@ def _flat(pattern: str) -> str:
     several ranges is a chain of calls, about five times slower on whole texts.
     """
     letters = string.ascii_letters + string.digits
-    return pattern.replace("a-zA-Z0-9", letters).replace("\\s", " \\t\\n\\r\\f\\x0B")
+    return pattern.replace("a-zA-Z0-9", letters)
 
 
 def _column(c) -> Column:

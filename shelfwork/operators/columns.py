@@ -81,15 +81,15 @@ def write_back(df: DataFrame, changes: DataFrame, key: str, column: str) -> Data
 
 
 def keep_first(df: DataFrame, value: str, key: str, scope: Sequence[str] = ()) -> DataFrame:
-    """The row with the smallest key per value (and scope).
+    """The row with the smallest key per value (and scope); keys are unique.
 
-    A grouped minimum, not a window: copies are merged before the shuffle, so a
-    text that a third of the rows share costs no single task.
+    Only digests and keys are grouped: copies merge before the shuffle, so a text
+    that a third of the rows share costs no single task, and no text is sorted.
+    The rows themselves are picked by key.
     """
-    rest = [c for c in df.columns if c not in (value, key, *scope)]
-    first = F.min(F.struct(key, *rest)).alias("_first")
-    kept = df.groupBy(*scope, value).agg(first).select(*scope, value, "_first.*")
-    return kept.select(*df.columns)
+    digest = F.sha2(F.col(value).cast("string"), 256).alias("_digest")
+    firsts = df.select(*scope, digest, key).groupBy(*scope, "_digest").agg(F.min(key).alias(key))
+    return df.join(firsts.select(key), key, "left_semi")
 
 
 def drop_repeats(df: DataFrame, text: str, key: str, scope: Sequence[str] = (), junk: str = ";") -> DataFrame:
@@ -99,8 +99,8 @@ def drop_repeats(df: DataFrame, text: str, key: str, scope: Sequence[str] = (),
 
 def repeated_texts(df: DataFrame, text: str, key: str) -> DataFrame:
     """Groups of equal texts: first key and number of rows."""
-    groups = df.groupBy(text).agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
-    return groups.where("n > 1").select(F.md5(text).alias("text_md5"), "n", "first_key")
+    groups = df.groupBy(F.md5(text).alias("text_md5")).agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
+    return groups.where("n > 1").select("text_md5", "n", "first_key")
 
 
 def find_text(df: DataFrame, column: str, needle: str, key: str) -> DataFrame:

@@ -77,6 +77,15 @@ def batch_prompts(batched: DataFrame, text: str) -> DataFrame:
     )
 
 
+MISMATCH = "mismatch"
+
+
+def _status(reply, error: str | None) -> str:
+    if error:
+        return MISMATCH if error.startswith(f"{MISMATCH}:") else "error"
+    return "missing" if reply is None else "ok"
+
+
 def _replies(call, texts: list, retries: int):
     """Ask until every text has a reply, at most ``retries`` times more."""
     replies, error = [None] * len(texts), None
@@ -87,11 +96,14 @@ def _replies(call, texts: list, retries: int):
             answer = call(list(texts))
             if isinstance(answer, dict):
                 answer = [answer.get(str(i + 1)) for i in range(len(texts))]
-            answer = (list(answer) + [None] * len(texts))[: len(texts)]
-            replies, error = answer, None
+            answer = list(answer)
         except Exception as problem:  # noqa: BLE001 - the user's function may raise anything
             error = f"{type(problem).__name__}: {problem}"
             break
+        if len(answer) != len(texts):  # which reply belongs to which text is not known
+            replies, error = [None] * len(texts), f"{MISMATCH}: {len(answer)} replies to {len(texts)} texts"
+            continue
+        replies, error = answer, None
         if all(r is not None for r in replies):
             break
     return replies, asked, error
@@ -120,7 +132,7 @@ def enrich_batches(
             for keys, texts in zip(frame["keys"], frame["texts"], strict=True):
                 replies, asked, error = _replies(call, list(texts), retries)
                 for k, t, r in zip(keys, texts, replies, strict=True):
-                    status = "error" if error else ("ok" if r is not None else "missing")
+                    status = _status(r, error)
                     if error:
                         r = t if on_error == "input" else None
                     out.append((k, r, status, asked, error))
@@ -142,7 +154,7 @@ def enrich_rows(df: DataFrame, key: str, text: str, call: Callable, on_error: st
             out = []
             for k, t in zip(frame[key], frame[text], strict=True):
                 replies, asked, error = _replies(call, [t], 0)
-                status = "error" if error else ("ok" if replies[0] is not None else "missing")
+                status = _status(replies[0], error)
                 reply = (t if on_error == "input" else None) if error else replies[0]
                 out.append((k, reply, status, asked, error))
             yield pd.DataFrame(out, columns=[key, "reply", "status", "calls", "error"])

@@ -70,5 +70,6 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def repeated_rows(df: DataFrame, value: str) -> DataFrame:
     """Rows that repeat a value: count(*) minus distinct values."""
-    counts = df.groupBy(value).agg(F.count("*").alias("n"))
+    digest = F.sha2(F.col(value).cast("string"), 256).alias("digest")
+    counts = df.select(digest).groupBy("digest").agg(F.count("*").alias("n"))
     return counts.agg(F.sum(F.col("n") - 1).alias("repeated"))

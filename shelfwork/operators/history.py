@@ -66,35 +66,6 @@ def best_epoch(df: DataFrame, run: str, epoch: str, score: str, mode: str = "min
     )
 
 
-def plateau_rates(
-    df: DataFrame, run: str, epoch: str, score: str, start: float, factor: float = 0.5,
-    patience: int = 2, floor: float = 1e-6, min_delta: float = 0.0,
-) -> DataFrame:
-    """Learning rate after every epoch: multiplied by ``factor`` when ``patience`` epochs bring no gain."""
-    state = F.struct(
-        F.lit(None).cast("double").alias("best"),
-        F.lit(0).alias("wait"),
-        F.lit(start).alias("rate"),
-        F.array().cast("array<struct<epoch:int,rate:double>>").alias("out"),
-    )
-
-    def step(s, e):
-        better = s["best"].isNull() | (e["score"] < s["best"] - min_delta)
-        waited = F.when(better, F.lit(0)).otherwise(s["wait"] + 1)
-        cut = waited >= patience
-        rate = F.when(cut, F.greatest(s["rate"] * factor, F.lit(floor))).otherwise(s["rate"])
-        entry = F.struct(e["epoch"].alias("epoch"), rate.alias("rate"))
-        return F.struct(
-            F.when(better, e["score"]).otherwise(s["best"]).alias("best"),
-            F.when(cut, F.lit(0)).otherwise(waited).alias("wait"),
-            rate.alias("rate"),
-            F.concat(s["out"], F.array(entry)).alias("out"),
-        )
-
-    folded = _folded(df, run, epoch, score).select(run, F.aggregate("h", state, step)["out"].alias("out"))
-    return folded.select(run, F.inline("out"))
-
-
 def stack_stages(first: DataFrame, second: DataFrame, run: str, epoch: str) -> DataFrame:
     """Two stages on one epoch axis: the second starts after the first."""
     length = first.groupBy(run).agg(F.max(epoch).alias("_n"))

@@ -121,20 +121,6 @@ def sentence_tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     return raw.select(key, "sent_ix", "term", (F.col("raw") / norm).alias("weight"))
 
 
-def _cosine(a_terms: str, a_weights: str, b_terms: str, b_weights: str):
-    """Dot product of two sparse vectors held as parallel arrays."""
-
-    def weight(terms, weights, term):
-        return F.get(F.col(weights), (F.array_position(F.col(terms), term) - 1).cast("int"))
-
-    shared = F.array_intersect(a_terms, b_terms)
-    return F.aggregate(
-        shared,
-        F.lit(0.0),
-        lambda total, t: total + weight(a_terms, a_weights, t) * weight(b_terms, b_weights, t),
-    )
-
-
 def sentence_vectors(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """The distinct sentence vectors of documents that are partitioned by key.
 

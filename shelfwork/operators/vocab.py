@@ -8,7 +8,9 @@ takes the weight out of frequent words.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import log10
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,16 +70,15 @@ def decode_sequences(df: DataFrame, key: str, ids: str, vocab: DataFrame, num_wo
     return words.groupBy(key).agg(F.array_join(ordered, " ").alias("text"))
 
 
-def corpus_tfidf(df: DataFrame, key: str, text: str, num_words: int = 60_000) -> DataFrame:
-    """Count times ln((N + 1) / (df + 1)) of the most frequent words, one row per text and word."""
+def corpus_tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Count times ln((N + 1) / (df + 1)) of every word, one row per text and word."""
     docs = by_key(df.select(key, text), key)
     counts = docs.select(key, F.explode(T.vocabulary_tokens(text)).alias("term")).groupBy(key, "term").agg(
         F.count("*").alias("n")
     )
-    kept = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
-    kept = kept.orderBy(F.desc("total"), "term").limit(num_words).select("term", "df")
+    kept = counts.groupBy("term").agg(F.count("*").alias("df"))
     texts = df.agg(F.count("*").alias("texts"))
-    weighed = counts.join(F.broadcast(kept) if num_words <= MAX_BROADCAST_TERMS else kept, "term")
+    weighed = counts.join(kept, "term")
     idf = F.log((texts.scalar() + F.lit(1.0)) / (F.col("df") + F.lit(1.0)))
     return weighed.select(key, "term", (F.col("n") * idf).alias("weight"))
 
@@ -101,6 +102,70 @@ def top_terms(df: DataFrame, label: str, text: str, k: int = 20, tokens=T.vocabu
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+# ------------------------------------------------------------------ glued words
+
+
+def word_splits(tokens: DataFrame, counts: DataFrame, longest: int = 24) -> DataFrame:
+    """(token, split) of the distinct tokens that fall into several likely words.
+
+    ``counts`` (term, n) may be of any size: the substrings of the tokens, of up to
+    ``longest`` letters, meet it in a join, and only what is known comes back to
+    the token. A token is split into the pieces of the highest joint probability;
+    unknown pieces of n letters count as 10 / (total * 10 ** n).
+    """
+    starts = F.explode(F.sequence(F.lit(0), F.length("token") - 1)).alias("start")
+    ends = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("token") - F.col("start")))).alias("size")
+    distinct = tokens.select("token").where(F.length("token") > 0).distinct()
+    pieces = distinct.select("token", starts).select("token", "start", ends)
+    pieces = pieces.withColumn("term", F.substring("token", F.col("start") + 1, F.col("size")))
+    known = pieces.join(counts.select("term", "n"), "term").groupBy("token").agg(
+        F.collect_list(F.struct("start", "size", "n")).alias("known")
+    )
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    rows = distinct.join(known, "token", "left").join(F.broadcast(total))  # one row
+
+    @F.pandas_udf("string")
+    def split(token: pd.Series, known: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series([best_split(t, k if k is not None else (), n, longest) for t, k, n in zip(token, known, total, strict=True)])
+
+    return rows.select("token", split("token", "known", "total").alias("split")).where("split != token")
+
+
+def best_split(token: str, known, total: float, longest: int = 24) -> str:
+    """The pieces of the token with the highest joint probability; of equals the longest last piece."""
+    total = float(total or 1)
+    unknown = [0.0] + [log10(10.0 / total) - n for n in range(1, longest + 1)]
+    scores = {(k["start"], k["start"] + k["size"]): log10(k["n"] / total) for k in known}
+    best = [(0.0, 0)]
+    for end in range(1, len(token) + 1):
+        options = [
+            (best[start][0] + scores.get((start, end), unknown[end - start]), -start) for start in range(max(0, end - longest), end)
+        ]
+        score, start = max(options)
+        best.append((score, -start))
+    pieces, end = [], len(token)
+    while end > 0:
+        pieces.append(token[best[end][1] : end])
+        end = best[end][1]
+    return " ".join(reversed(pieces))
+
+
+def split_glued_words(df: DataFrame, key: str, text: str, counts: DataFrame, longest: int = 24) -> DataFrame:
+    """``text`` with its glued words split, words of letters in lower case, white space as one blank.
+
+    Every distinct word is split once; the others are joined back by word.
+    """
+    words = df.select(key, F.posexplode(T.words(text)).alias("pos", "word"))
+    letters = F.col("word").rlike("^\\p{L}+$")
+    words = words.withColumn("token", F.when(letters, F.lower("word")))
+    splits = word_splits(words.where(F.col("token").isNotNull()), counts, longest)
+    named = join_dim(words, splits, ["token"], "left", spread_on=["pos"])
+    line = F.struct("pos", F.coalesce("split", "token", "word").alias("w"))
+    lines = named.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(line))["w"], " ").alias("_line"))
+    joined = df.join(lines, key, "left")
+    return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.coalesce("_line", F.lit("")))).drop("_line")
+
+
 # ---------------------------------------------------------------------- spelling
 
 
@@ -124,7 +189,11 @@ def spelling_fixes(
     without comparing every rare word to every frequent one.
     """
     counts = term_counts(df, text).where(F.length("term") >= min_length)
-    odd = counts.where(F.col("n") <= rare).select("term", F.explode(_variants("term")).alias("v"))
+    # a rare word of a length that no frequent word is near has no partner and makes no variants
+    near_length = F.explode(F.sequence(F.length("term") - 1, F.length("term") + 1)).alias("size")
+    lengths = counts.where(F.col("n") >= frequent).select(near_length).distinct()
+    rare_words = counts.where(F.col("n") <= rare).withColumn("size", F.length("term")).join(lengths, "size", "left_semi")
+    odd = rare_words.select("term", F.explode(_variants("term")).alias("v"))
     known = counts.where(F.col("n") >= frequent).select(
         F.col("term").alias("fix"), F.col("n").alias("fix_n"), F.explode(_variants("term")).alias("v")
     )

@@ -8,6 +8,7 @@ from ..operators import balance as B
 from ..operators import columns as C
 from ..operators import explore as X
 from ..operators import labels as N
+from ..functions import fixed_values as fixed
 from ..functions import text as T
 from ..scale import spread
 from .registry import query, table
@@ -411,7 +412,7 @@ def missing_overall(spark, folder):
 
 
 def sql_white_words(c: str) -> str:
-    return f"len(list_filter(regexp_split_to_array(coalesce({c}, ''), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> ''))"
+    return f"len(list_filter(regexp_split_to_array(coalesce({c}, ''), '{fixed.WHITE}+'), lambda w: w <> ''))"
 
 
 @query(

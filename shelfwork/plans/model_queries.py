@@ -40,15 +40,10 @@ def near_duplicate_pairs(spark, folder):
     return pairs.withColumn("cosine", F.round("cosine", 6))
 
 
-@query(
-    "near_duplicate_lists",
-    f"WITH {PAIRS} SELECT vec_id, string_agg(other::VARCHAR, ',' ORDER BY other) AS duplicates, count(*)::INT AS n FROM pairs GROUP BY vec_id",
-)
+@query("near_duplicate_lists", f"WITH {PAIRS} SELECT vec_id, other, count(*) OVER (PARTITION BY vec_id) AS n FROM pairs")
 def near_duplicate_lists(spark, folder):
     pairs = S.similar_vectors(vectors(spark, folder), ["mean"], "vec_id", "embedding", 0.3)
-    lists = S.duplicate_lists(pairs, "vec_id", ["cosine"])
-    names = F.array_join(F.col("duplicates.other").cast("array<string>"), ",")
-    return lists.select("vec_id", names.alias("duplicates"), F.size("duplicates").alias("n"))
+    return S.duplicate_rows(pairs, "vec_id").select("vec_id", "other", "n")
 
 
 @query("near_duplicate_removal", f"WITH {PAIRS} SELECT vec_id, mean FROM v WHERE vec_id NOT IN (SELECT other FROM pairs)")

@@ -302,25 +302,6 @@ def best_epoch_max(spark, folder):
     return H.best_epoch(history(spark, folder), "user_id", "epoch", "loss", mode="max")
 
 
-@query(
-    "lr_plateau",
-    f"""
-    WITH RECURSIVE {HISTORY},
-    st AS (
-      SELECT user_id, epoch, loss AS best, 0 AS wait, 0.001::DOUBLE AS rate FROM hist WHERE epoch = 1
-      UNION ALL
-      SELECT h.user_id, h.epoch, CASE WHEN h.loss < s.best THEN h.loss ELSE s.best END,
-        CASE WHEN h.loss < s.best OR s.wait + 1 >= 2 THEN 0 ELSE s.wait + 1 END,
-        CASE WHEN NOT h.loss < s.best AND s.wait + 1 >= 2 THEN greatest(s.rate * 0.5::DOUBLE, 1e-6::DOUBLE) ELSE s.rate END
-      FROM st s JOIN hist h ON h.user_id = s.user_id AND h.epoch = s.epoch + 1
-    )
-    SELECT user_id, epoch, rate FROM st
-    """,
-)
-def lr_plateau(spark, folder):
-    return H.plateau_rates(history(spark, folder), "user_id", "epoch", "loss", start=0.001)
-
-
 def stages(spark, folder):
     rows = history(spark, folder)
     second = rows.where("epoch > 10").withColumn("epoch", F.col("epoch") - 10)

@@ -201,7 +201,9 @@ def lookup_substring(spark, folder):
 
 # -------------------------------------------------------------------- cleaning
 
-W = "[ \\t\\n\\r\\f\\x0B]"
+W = fixed.WHITE
+# A no-break space, as French text has it, where the tables have a blank.
+NO_BREAK = [("e ", "e\u00a0"), (" th", "\u00a0th")]
 
 
 def sql_text(value: str) -> str:
@@ -246,10 +248,10 @@ def clean_text_chain(spark, folder):
     )
 
 
-@query("clean_documents", f"SELECT doc_id, {sql_clean('text')} AS text FROM documents")
+@query("clean_documents", f"SELECT doc_id, {sql_clean(sql_replace('text', NO_BREAK))} AS text FROM documents")
 def clean_documents(spark, folder):
     return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
-        "doc_id", T.clean_text("text").alias("text")
+        "doc_id", T.clean_text(T.replace_all("text", NO_BREAK)).alias("text")
     )
 
 
@@ -263,13 +265,14 @@ def fix_mojibake_table(spark, folder):
     return docs.select("doc_id", T.fix_mojibake(T.replace_all("text", BROKEN)).alias("text"))
 
 
-@query("fix_encoding", "SELECT doc_id, text FROM documents")
+@query("fix_encoding", "SELECT doc_id, 'łę ' || text AS text FROM documents")
 def fix_encoding(spark, folder):
     # Broken on purpose, repaired, and expected to equal the stored text.
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     letters = "àáâäçèéêëìíîïñòóôöùúûüßÀÁÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ¿¡«»"
     broken = T.replace_all("text", [(c, c.encode("utf-8").decode("latin-1")) for c in letters])
-    return docs.select("doc_id", task_text.fix_encoding(broken).alias("text"))
+    mended = task_text.fix_encoding(F.concat(F.lit("Å‚Ä™ "), broken))
+    return docs.select("doc_id", mended.alias("text"))
 
 
 @query("html_to_text")
@@ -278,10 +281,10 @@ def html_to_text(spark, folder):
     return pages.select("page_id", task_text.html_to_text("html").alias("text"))
 
 
-@query("model_text", f"SELECT doc_id, {sql_model_text('text')} AS text FROM documents")
+@query("model_text", f"SELECT doc_id, {sql_model_text(sql_replace('text', NO_BREAK))} AS text FROM documents")
 def model_text(spark, folder):
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", T.model_text("text").alias("text"))
+    return docs.select("doc_id", T.model_text(T.replace_all("text", NO_BREAK)).alias("text"))
 
 
 @query("strip_accents", "SELECT doc_id, strip_accents(text) AS text FROM documents")

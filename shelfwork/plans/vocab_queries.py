@@ -41,7 +41,7 @@ def vocabulary(spark, folder):
 
 
 SEQUENCES = f"""
-    {sql_vocab(5000)},
+    {sql_vocab(60000)},
     pos AS (SELECT doc_id, unnest(ts[1:200]) AS term, unnest(range(1, 1 + len(ts[1:200]))) AS p FROM tokens),
     seq AS (
       SELECT doc_id, string_agg(coalesce(term_id, 1)::VARCHAR, ',' ORDER BY p) AS ids,
@@ -59,7 +59,7 @@ SEQUENCES = f"""
 )
 def encode_sequences(spark, folder):
     rows = docs(spark, folder)
-    out = V.encode_sequences(rows, "doc_id", "text", V.vocabulary(rows, "text", 5000), 200, 5000)
+    out = V.encode_sequences(rows, "doc_id", "text", V.vocabulary(rows, "text"), 200)
     used = F.aggregate("mask", F.lit(0), lambda t, m: t + m)
     return out.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), used.alias("used"))
 
@@ -67,21 +67,21 @@ def encode_sequences(spark, folder):
 @query("decode_sequences", f"WITH {SEQUENCES} SELECT t.doc_id, coalesce(words, '') AS text FROM tokens t LEFT JOIN seq USING (doc_id)")
 def decode_sequences(spark, folder):
     rows = docs(spark, folder)
-    vocab = V.vocabulary(rows, "text", 5000)
-    ids = V.encode_sequences(rows, "doc_id", "text", vocab, 200, 5000)
-    return V.decode_sequences(ids, "doc_id", "ids", vocab, 5000)
+    vocab = V.vocabulary(rows, "text")
+    ids = V.encode_sequences(rows, "doc_id", "text", vocab, 200)
+    return V.decode_sequences(ids, "doc_id", "ids", vocab)
 
 
 @query(
     "corpus_tfidf",
     f"""
     WITH c AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL),
-    k AS (SELECT term, count(*) AS df FROM c GROUP BY term ORDER BY sum(n) DESC, term LIMIT 5000)
+    k AS (SELECT term, count(*) AS df FROM c GROUP BY term)
     SELECT doc_id, term, round(n * ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)), 6) AS weight FROM c JOIN k USING (term)
     """,
 )
 def corpus_tfidf(spark, folder):
-    out = V.corpus_tfidf(table(spark, folder, "documents"), "doc_id", "text", 5000)
+    out = V.corpus_tfidf(table(spark, folder, "documents"), "doc_id", "text")
     return out.withColumn("weight", F.round("weight", 6))
 
 
@@ -185,26 +185,23 @@ def language_id(spark, folder):
     return V.detect_language(rows, "doc_id", "text", V.language_profiles(rows, "lang", "text"), "lang")
 
 
-def unigrams(rows, num_words=60_000):
-    """Counts of a capped vocabulary of plain words, for splitting glued ones."""
-    counts = V.term_counts(rows, "text").where(F.col("term").rlike("^[a-z]{1,24}$"))
-    top = counts.orderBy(F.desc("n"), "term").limit(num_words)
-    return {r["term"]: r["n"] for r in top.toLocalIterator()}
+def unigrams(rows):
+    """Counts of all words made of letters, for splitting glued ones."""
+    return V.term_counts(rows, "text").where(F.col("term").rlike("^\\p{L}+$"))
 
 
 @query("split_glued_words")
 def split_glued_words(spark, folder):
     rows = docs(spark, folder)
-    return rows.select("doc_id", task_text.split_glued_words("text", unigrams(rows)).alias("text"))
+    return V.split_glued_words(rows, "doc_id", "text", unigrams(rows))
 
 
 @query("baseline_text_chain")
 def baseline_text_chain(spark, folder):
     rows = docs(spark, folder)
-    return rows.select("doc_id", task_text.baseline_text(F.lower("text"), unigrams(rows)).alias("text"))
-
-
-# -------------------------------------------------------------------- enrichment
+    words = rows.select("doc_id", task_text.baseline_words(F.lower("text")).alias("text"))
+    split = V.split_glued_words(words, "doc_id", "text", unigrams(rows))
+    return split.select("doc_id", task_text.baseline_end("text").alias("text"))
 
 
 def sql_chunk(pos: str, rows: str, k: str) -> str:
@@ -215,7 +212,7 @@ def sql_chunk(pos: str, rows: str, k: str) -> str:
 BATCHED = f"""
     placed AS (
       SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS rows,
-        len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) AS words FROM documents
+        len(list_filter(regexp_split_to_array(text, '{fixed.WHITE}+'), lambda w: w <> '')) AS words FROM documents
     ),
     chunked AS (
       SELECT doc_id, text, {sql_chunk('pos', 'rows', 'greatest(1, rows // 250)')} AS chunk,

@@ -80,12 +80,6 @@ def test_early_stopping(spark):
     assert best == {1: 1, 2: 2}
 
 
-def test_plateau(spark):
-    df = spark.createDataFrame([(1, i + 1, v) for i, v in enumerate([5.0, 5.0, 5.0, 4.0, 4.0, 4.0])], "run int, epoch int, val double")
-    got = [r["rate"] for r in H.plateau_rates(df, "run", "epoch", "val", 0.1, 0.1, 2, 0.005).orderBy("epoch").collect()]
-    assert got == pytest.approx([0.1, 0.1, 0.01, 0.01, 0.01, 0.005])
-
-
 def test_store_keeps_latest(spark, tmp_path):
     root = str(tmp_path / "store")
     schema = "model string, at int, acc double"
@@ -237,3 +231,10 @@ def test_classifiers_learn(spark):
         assert right > 0.9, name
     _, trials = P.grid_search(df, "v", "c", [0.0, 0.1], [0.0], iterations=5)
     assert trials.count() == 2 and trials.agg(F.max("val_accuracy")).first()[0] > 0.8
+
+
+@pytest.mark.parametrize("answers", [["a"], ["a", "b", "c"], []])
+def test_replies_of_another_number_are_a_mismatch(answers):
+    replies, asked, error = L._replies(lambda texts: answers, ["x", "y"], 2)
+    assert replies == [None, None] and asked == 3 and L._status(None, error) == "mismatch"
+    assert f"{len(answers)} replies to 2 texts" in error

@@ -1,4 +1,5 @@
 import html
+import math
 import re
 import unicodedata
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfwork.functions import fixed_values as fixed
 from shelfwork.functions import task_text
 from shelfwork.functions import text as T
+from shelfwork.operators import vocab as V
 
 
 def values(spark, texts, function):
@@ -94,7 +96,6 @@ def test_accents(spark):
     samples = ["àéîõüçñ ÀÉ", "Ångström", "é", "ß œ ø", "ἄλφα", "Й"]
     full = ["".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn") for s in samples]
     assert values(spark, samples, T.strip_accents) == full
-    assert values(spark, [*samples, "한"], task_text.strip_accents_full)[:-1] == full
 
 
 def test_html_to_text(spark):
@@ -175,9 +176,51 @@ def test_numbered_replies(spark):
 
 
 def test_glued_words(spark):
-    counts = {"red": 50, "car": 40, "the": 90, "in": 80, "carin": 1}
-    got = values(spark, ["theredcar in2", "Thecar"], lambda c: task_text.split_glued_words(c, counts))
-    assert got == ["the red car in2", "the car"]
+    counts = {"red": 50, "car": 40, "the": 90, "in": 80, "carin": 1, "forêt": 30, "noire": 20, "et": 60, "for": 70}
+    table = spark.createDataFrame(list(counts.items()), "term string, n long")
+    texts = ["theredcar in2", "Thecar", "forêt forêtnoire", "", None, "the\u00a0car  zzz", "x" * 3000, "ΣΑΣ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = [r["t"] for r in V.split_glued_words(df, "id", "t", table).orderBy("id").collect()]
+    assert got[6].replace(" ", "") == "x" * 3000 and got[7] == "σας"
+    assert got[:6] == ["the red car in2", "the car", "forêt forêt noire", "", None, "the car zzz"]
+
+
+def test_best_split_is_the_best_of_all(spark):
+    counts = {"a": 5, "ab": 9, "b": 2, "ba": 4, "aba": 1}
+    known = lambda t: [{"start": i, "size": j - i, "n": counts[t[i:j]]} for i in range(len(t)) for j in range(i + 1, len(t) + 1) if t[i:j] in counts]
+
+    def score(pieces):
+        return sum(math.log10(counts[p] / 21) if p in counts else math.log10(10 / 21) - len(p) for p in pieces)
+
+    def ways(t):
+        return [[]] if not t else [[t[:i], *w] for i in range(1, len(t) + 1) for w in ways(t[i:])]
+
+    for token in ("abab", "aabba", "babab", "cabc"):
+        got = V.best_split(token, known(token), 21).split(" ")
+        assert score(got) == pytest.approx(max(map(score, ways(token))))
+
+
+def test_white_space_of_all_scripts(spark):
+    assert values(spark, ["contact a@b.fr\u00a0chaise rouge", "voir www.x.fr\u202fici"], T.clean_text) == ["contact chaise rouge", "voir ici"]
+    assert values(spark, ["\u00a0a b\u3000"], T.strip) == ["a b"]
+    assert values(spark, ["a\u00a0b c"], T.word_count_white) == [3]
+
+
+def test_script_and_style_are_not_text(spark):
+    page = "<style>p{color:red}</style><script>var a=1;</script><!-- no --><p>Hi</p>"
+    assert values(spark, [page], task_text.html_to_text) == ["Hi"]
+
+
+def test_repair_of_other_scripts(spark):
+    samples = ["łódź ęą", "při českých", "Türkçe ığş", "αβγ", "привет", "« CAFÉ»", "Ñ»", "É»", "œuvre"]
+    latin = [s.encode().decode("latin-1") for s in samples[:5]]
+    assert values(spark, latin, task_text.fix_encoding) == samples[:5]
+    assert values(spark, ["Å‚Ä™"], task_text.fix_encoding) == ["łę"]
+    assert values(spark, samples[5:8], task_text.fix_encoding) == samples[5:8]
+    nested = "é"
+    for _ in range(5):
+        nested = nested.encode().decode("latin-1")
+    assert values(spark, [nested], task_text.fix_encoding) == ["é"]
 
 
 def test_baseline_chain(spark):
