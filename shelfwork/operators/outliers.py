@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -177,45 +179,59 @@ def similar_sentences(
     """
     docs = df.select(key, text)
     vectors = sentence_vectors(docs if partitioned else by_key(docs, key), key, text, threshold)
-    repeated = F.size("members") > 1
-    entry = F.struct("first", F.size("members").alias("n"), "members", "terms", "ws")
-    postings = (
-        vectors.select(key, entry.alias("e"), repeated.alias("repeated"), F.explode_outer("lead").alias("term"))
-        .groupBy(key, "term")
-        .agg(F.collect_list("e").alias("with_term"), F.max("repeated").alias("repeated"))
-        .where((F.size("with_term") > 1) | F.col("repeated"))
-        .select(key, "term", "with_term", F.explode_outer("with_term").alias("e"))
-    )
-
-    def is_similar(other):
-        # a pair counts at its first shared term only
-        first_shared = F.get(F.array_intersect(other["terms"], F.col("e.terms")), F.lit(0))
-        cosine = F.round(_dot(other, F.col("e")), 9)
-        return (
-            (other["first"] < F.col("e.first"))
-            & (first_shared == F.col("term"))
-            & (cosine > threshold)
-        )
-
-    earlier = F.transform(F.filter("with_term", is_similar), lambda o: F.struct(o["first"], o["n"]))
-    found = postings.select(
-        key, F.col("e.first").alias("first"), F.col("e.members").alias("members"), earlier.alias("earlier")
-    )
-    return (
-        found.where((F.size("earlier") > 0) | repeated)
-        .groupBy(key, "first", "members")
-        .agg(F.flatten(F.collect_list("earlier")).alias("earlier"))
-    )
-
-
-def _dot(a, b):
-    """Dot product of two sparse vectors, each a struct of parallel arrays."""
-
-    def weight(vector, term):
-        return F.get(vector["ws"], (F.array_position(vector["terms"], term) - 1).cast("int"))
-
-    shared = F.array_intersect(a["terms"], b["terms"])
-    return F.aggregate(shared, F.lit(0.0), lambda total, t: total + weight(a, t) * weight(b, t))
+    entry = F.struct("first", "members", "terms", "ws", F.size("lead").alias("leads"))
+    # A document's vectors meet in its row, as its text does; nothing is copied for a pair.
+    whole = vectors.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("v"))
+    whole = whole.withColumn("near", _near_earlier("v.terms", "v.ws", "v.leads", threshold))
+
+    def with_earlier(e, i):
+        ones = F.transform(F.get("near", i), lambda k: F.struct(
+            F.get("v", k)["first"].alias("first"), F.size(F.get("v", k)["members"]).alias("n")
+        ))
+        return F.struct(e["first"].alias("first"), e["members"].alias("members"), ones.alias("earlier"))
+
+    found = F.filter(F.transform("v", with_earlier), lambda e: (F.size(e["earlier"]) > 0) | (F.size(e["members"]) > 1))
+    return whole.select(key, F.explode_outer(found).alias("e")).where("e is not null").select(key, "e.first", "e.members", "e.earlier")
+
+
+def _near_earlier(terms: str, weights: str, leads: str, threshold: float):
+    """For each vector of a document the places of the earlier vectors with a cosine above the threshold."""
+
+    @F.pandas_udf("array<array<int>>")
+    def run(all_terms: pd.Series, all_weights: pd.Series, all_leads: pd.Series) -> pd.Series:
+        return pd.Series([near_earlier(t, w, n, threshold) for t, w, n in zip(all_terms, all_weights, all_leads, strict=True)])
+
+    return run(terms, weights, leads)
+
+
+def near_earlier(terms, weights, leads, threshold: float) -> list[list[int]]:
+    """Unit vectors as lists of terms (rare ones first, of which so many lead) and weights."""
+    if not len(terms):
+        return []
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
+    _, ids = np.unique(np.concatenate([np.asarray(t, dtype=object) for t in terms]).astype(str), return_inverse=True)
+    values = np.concatenate([np.asarray(w, dtype=float) for w in weights])
+    one = np.zeros(ids.max() + 1)
+    holders: dict[int, list[int]] = {}
+    out = []
+    for i in range(len(terms)):
+        own = ids[bounds[i] : bounds[i + 1]]
+        lead = own[: int(leads[i])].tolist()
+        met = [holders[t] for t in lead if t in holders]
+        found: list[int] = []
+        if met:
+            others = np.unique(np.concatenate(met))
+            sizes = bounds[others + 1] - bounds[others]
+            at = np.concatenate(([0], np.cumsum(sizes)))
+            flat = np.arange(at[-1]) + np.repeat(bounds[others] - at[:-1], sizes)
+            one[own] = values[bounds[i] : bounds[i + 1]]
+            cosine = np.add.reduceat(one[ids[flat]] * values[flat], at[:-1])
+            one[own] = 0
+            found = others[np.round(cosine, 9) > threshold].tolist()
+        out.append(found)
+        for t in lead:
+            holders.setdefault(t, []).append(i)
+    return out
 
 
 def redundancy_report(found: DataFrame, key: str) -> DataFrame:
