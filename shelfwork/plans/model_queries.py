@@ -196,7 +196,7 @@ def split_files(spark, folder):
 
 @query(
     "split_table",
-    "SELECT doc_id, lang FROM documents WHERE source IN ('src1', 'src2')",
+    "SELECT doc_id, lang, CASE WHEN source IN ('src1', 'src2') THEN 'val' ELSE 'train' END AS part FROM documents",
 )
 def split_table(spark, folder):
     from .fusion import load_splits, save_splits
@@ -205,23 +205,24 @@ def split_table(spark, folder):
     part = F.when(F.col("source").isin("src1", "src2"), "val").otherwise("train")
     target = shared_folder(spark, "split-table")
     save_splits(rows.withColumn("split", part), target)
-    return load_splits(spark, target, "val").select("doc_id", "lang")
+    parts = [load_splits(spark, target, p).select("doc_id", "lang", F.lit(p).alias("part")) for p in ("train", "val")]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
     "result_store",
-    """
-    SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events
-    WHERE event_type IN ('click', 'error') GROUP BY user_id
-    """,
+    "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id",
 )
 def result_store(spark, folder):
+    """All events reach the store in three writes; the latest of each user is read from it."""
     target = shared_folder(spark, "store")
     rows = table(spark, folder, "events").select("user_id", "event_type", "event_id")
-    first = rows.where("event_type = 'click'")
-    writers.store_results(spark, target, first.groupBy("user_id").agg(
-        F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id")), "user_id", "event_id")
-    return writers.store_results(spark, target, rows.where("event_type = 'error'"), "user_id", "event_id")
+    latest = [F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id")]
+    for third in (0, 1, 2):
+        out = writers.store_results(
+            spark, target, rows.where(F.col("event_id") % 3 == third).groupBy("user_id").agg(*latest), "user_id", "event_id"
+        )
+    return out
 
 
 @query("stream_clean_available_now", f"SELECT doc_id, lang, {sql_clean('text')} AS text FROM documents")
