@@ -1,7 +1,10 @@
-"""Preparation of a catalogue: text assembly, cleaning, long texts, enrichment, balance.
+"""Preparation of a catalogue: balance, text assembly, cleaning, long texts, enrichment.
 
-Each stage is a function DataFrame -> DataFrame, chosen by settings and applied
-in order with ``DataFrame.transform``; the result is one lazy plan.
+Which rows are drawn is decided first, on keys and labels alone. The costly stages
+then run once over the drawn rows: each is a function DataFrame -> DataFrame,
+chosen by settings and applied in order with ``DataFrame.transform``. Enrichment
+calls a user's function, which may cost money or answer differently the next
+time: its texts and replies are written to a store before anything reads them.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import task_text
 from ..functions import text as T
@@ -33,6 +37,7 @@ class Settings:
     similarity: float = 0.8
     summary_sentences: int = 3
     enrichment: Callable | None = None
+    store: str | None = None
     model: str = "model"
     chunk_rows: int = 250
     balance: str = "none"
@@ -41,7 +46,7 @@ class Settings:
 
 
 def stages(key: str, label: str, title: str, description: str, settings: Settings) -> list[Stage]:
-    """The chosen stages, in order."""
+    """The chosen stages that work on the text, in order."""
     s = settings
     merged = T.merge_title_description(title, description, s.separator, on_equal=s.on_equal)
     chosen: list[Stage] = [lambda df: df.withColumn("text", merged)]
@@ -53,14 +58,24 @@ def stages(key: str, label: str, title: str, description: str, settings: Setting
         chosen.append(
             lambda df: O.transform_long_texts(df, key, "text", s.word_threshold, s.similarity, s.summary_sentences)
         )
-    if s.enrichment is not None:
-        chosen.append(lambda df: L.enrich(df, key, ["text"], s.enrichment, s.model, chunk_rows=s.chunk_rows))
-    chosen.append(lambda df: B.balance(df, s.balance, label, key, s.seed))
     return chosen
 
 
 def prepare(rows: DataFrame, key: str, label: str, title: str, description: str, settings: Settings | None = None) -> DataFrame:
-    out = rows
-    for stage in stages(key, label, title, description, settings or Settings()):
+    """The prepared catalogue. With an enrichment ``settings.store`` names the folder of its texts and replies.
+
+    A second run with the same store asks only for what has no good reply yet.
+    """
+    s = settings or Settings()
+    if s.enrichment is not None and s.store is None:
+        raise ValueError("an enrichment needs a store for its replies")
+    drawn = B.balance(rows.select(key, label), s.balance, label, key, s.seed)
+    out = rows if s.balance == "none" else rows.join(drawn.select(key).distinct(), key, "left_semi")
+    for stage in stages(key, label, title, description, s):
         out = out.transform(stage)
-    return out
+    if s.enrichment is not None:
+        out.write.mode("overwrite").parquet(f"{s.store}/texts")
+        out = rows.sparkSession.read.parquet(f"{s.store}/texts")
+        replies = L.enrich_resumable(out, key, "text", s.enrichment, f"{s.store}/replies", s.chunk_rows)
+        out = out.join(replies.select(key, F.col("reply").alias(C.output_column("text", s.model))), key, "left")
+    return out.join(drawn.select(key, "copy"), key) if "copy" in drawn.columns else out

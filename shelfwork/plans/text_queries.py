@@ -673,3 +673,25 @@ def prepare_catalogue(spark, folder):
     )
     settings = Settings(cleaning=(T.clean_text,), balance="undersample")
     return prepare(pairs, "doc_id", "lang", "title", "description", settings).select("doc_id", "lang", "text")
+
+
+def digests(texts):
+    """A stand-in for a user's function."""
+    import hashlib
+
+    return [hashlib.md5(t.encode()).hexdigest() for t in texts]
+
+
+@query("prepare_catalogue_enriched", f"WITH {SQL_PREPARED} SELECT doc_id, lang, md5(text) AS reply FROM transformed")
+def prepare_catalogue_enriched(spark, folder):
+    from ..session import shared_folder
+    from .catalogue import Settings, prepare
+
+    pairs = turn_pairs(spark, folder).select(
+        (F.col("conv_id") * 100000 + F.col("turn")).alias("doc_id"),
+        F.when(F.col("turn") % 2 == 0, "even").otherwise("odd").alias("lang"),
+        "title", "description",
+    )
+    settings = Settings(cleaning=(T.clean_text,), enrichment=digests, store=shared_folder(spark, "enriched"))
+    out = prepare(pairs, "doc_id", "lang", "title", "description", settings)
+    return out.select("doc_id", "lang", F.col("text_model").alias("reply"))

@@ -1,6 +1,7 @@
 """Sources, sinks, enrichment, histories, streams, models."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from shelfwork.operators import evaluate as E
 from shelfwork.operators import features as P
 from shelfwork.operators import history as H
 from shelfwork.operators import vocab as V
+from shelfwork.plans.catalogue import Settings, prepare
 from shelfwork.sources import readers, writers
 from shelfwork.streaming import incremental
 
@@ -238,3 +240,27 @@ def test_replies_of_another_number_are_a_mismatch(answers):
     replies, asked, error = L._replies(lambda texts: answers, ["x", "y"], 2)
     assert replies == [None, None] and asked == 3 and L._status(None, error) == "mismatch"
     assert f"{len(answers)} replies to 2 texts" in error
+
+
+@pytest.mark.parametrize("method", ["none", "undersample", "oversample"])
+def test_a_users_function_is_called_once_for_each_batch(spark, tmp_path, method):
+    rows = spark.createDataFrame(
+        [(i, "a" if i % 4 else "b", f"title {i}", None) for i in range(200)], "id bigint, label string, title string, description string"
+    )
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def call(texts):
+        (calls / uuid.uuid4().hex).write_text(str(len(texts)))
+        return [t.upper() for t in texts]
+
+    with pytest.raises(ValueError, match="store"):
+        prepare(rows, "id", "label", "title", "description", Settings(enrichment=call, balance=method))
+    settings = Settings(enrichment=call, balance=method, store=str(tmp_path / "store"), shorten=False)
+    for _ in range(2):  # a second run has nothing left to ask
+        out = prepare(rows, "id", "label", "title", "description", settings)
+        got = out.collect()
+        assert out.count() == {"none": 200, "undersample": 100, "oversample": 300}[method]
+        assert all(r["text_model"] == r["text"].upper() for r in got)
+        asked = sum(int(f.read_text()) for f in calls.iterdir())
+        assert asked == (100 if method == "undersample" else 200)
