@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import query, table
+from .common import in_text_batches, query, table
 
 #: Entries of a worker's table of remembered pieces, and of those of halves and joins.
 REMEMBERED, REMEMBERED_PARTS = 1 << 18, 1 << 16
@@ -196,7 +196,7 @@ def encode(
     names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if keep else 4]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"key {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(run, schema + (", ids array<int>, decoded binary" if keep else "")).withColumnRenamed("key", key)
+    return in_text_batches(rows).mapInArrow(run, schema + (", ids array<int>, decoded binary" if keep else "")).withColumnRenamed("key", key)
 
 
 def multilingual() -> str:

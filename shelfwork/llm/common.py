@@ -14,8 +14,10 @@ from ..session import shared_folder
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-#: A side with at most so many rows (of a few numbers each) is broadcast.
-BROADCAST_ROWS = 200_000
+#: A side of at most so many rows and so many bytes in its files is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Rows with texts in an Arrow batch.
+TEXT_ROWS = 1000
 #: Bytes of text that numpy works on at once.
 CHUNK = 1 << 18
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,9 +48,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored ``df`` with a broadcast hint if its files and its rows are few, else as it is."""
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if planned <= size and df.limit(rows + 1).count() <= rows else df
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, salt: str = "sample") -> DataFrame:
+    """All of ``df`` if it has at most ``rows`` rows, else those with the lowest hashes of the key.
+
+    Their number stays four standard deviations below ``rows``; no task or
+    driver ranks them.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    share = max(rows - 4 * rows**0.5, rows / 2) / n
+    return df.filter(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 31)) < int(share * (1 << 31)))
 
 
 def ascii_lower(text):
@@ -58,6 +74,18 @@ def ascii_lower(text):
     )
 
 
+def in_text_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose texts go to Python in batches of TEXT_ROWS rows at most.
+
+    Sets the session's size of Arrow batches, if it is larger: whole batches of
+    long texts are in memory twice, in the JVM and in Python.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def text_digest(text: str):
     return F.unhex(F.md5(F.col(text).cast("binary")))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank_words, bucket, chunks, lowered, owners, query, span_hashes, stored, table
+from .common import blank_words, bucket, chunks, in_text_batches, lowered, owners, query, span_hashes, stored, table
 
 MODULUS, HELD_OUT = 10, 0
 #: Words whose counts every task holds; words with an emission of their own; hidden states; rounds of training.
@@ -63,7 +63,7 @@ def counted(texts: DataFrame) -> DataFrame:
         if held:
             yield summed()
 
-    return texts.select("text").mapInArrow(run, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
+    return in_text_batches(texts.select("text")).mapInArrow(run, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -89,12 +89,20 @@ class Words:
 
 
 def near_words(counts: DataFrame, most: int = NEAR) -> Words:
-    """The ``most`` frequent words; a bounded number comes to the driver."""
+    """The words of the highest counts, as many as are at most ``most`` without parting equal counts.
+
+    The driver gets these words and, before, how many words have each count.
+    """
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "hash").limit(most).toPandas()
-    hashes, c = top["hash"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    return Words(hashes[order], c[order], order, int(total["n"]), int(total["v"]))
+    steps = counts.groupBy("c").agg(F.count("*").alias("words")).toArrow().to_pandas().sort_values("c", ascending=False)
+    fit = steps["c"][steps["words"].cumsum() <= most]
+    top = counts.filter(F.col("c") >= int(fit.min())).toArrow() if len(fit) else pa.table({"hash": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+    hashes, c = top["hash"].to_numpy().astype(np.int64), top["c"].to_numpy().astype(np.int64)
+    by_hash = np.argsort(hashes)
+    hashes, c = hashes[by_hash], c[by_hash]
+    ranks = np.empty(len(c), np.int64)
+    ranks[np.lexsort((hashes, -c))] = np.arange(len(c))
+    return Words(hashes, c, ranks, int(total["n"]), int(total["v"]))
 
 
 def sequences(rows: DataFrame, words: Words, symbols: int = SYMBOLS) -> DataFrame:
@@ -135,7 +143,7 @@ def sequences(rows: DataFrame, words: Words, symbols: int = SYMBOLS) -> DataFram
                 )
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("row", "key", "held_out", "text").mapInArrow(
+    return in_text_batches(rows.select("row", "key", "held_out", "text")).mapInArrow(
         run,
         f"row long, key {kind}, held_out boolean, n_tokens long, near_known long, near_share double, symbol_share double, "
         "n_rare long, symbols binary, far array<long>, far_n array<long>",
@@ -245,7 +253,7 @@ def baum_welch(texts: DataFrame, model: Hmm, rounds: int = ROUNDS) -> Hmm:
             yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(sums[some, s]) for s in range(k)]], ["id", *columns])
 
         found = texts.select("symbols").mapInArrow(run, "id long, " + ", ".join(f"{c} double" for c in columns))
-        found = found.groupBy("id").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+        found = found.groupBy("id").agg(*[F.sum(c).alias(c) for c in columns]).toArrow().to_pandas()
         sums = np.zeros((size + k + 1, k))
         sums[found["id"].to_numpy()] = found[columns].to_numpy()
         prior = model.emit.mean(1, keepdims=True)  # keeps every symbol possible in every state

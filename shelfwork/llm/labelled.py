@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket
+from .common import bucket, hash_sample, in_text_batches
 
 #: Labelled rows that a classifier is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -23,14 +23,14 @@ def labelled_sample(
 
     Rows whose crc32 of the key modulo ``modulus`` is ``held_out`` are not looked
     at; nor are null keys, null labels and keys whose labels contradict each other.
-    Of the rest those with the smallest hash of the key are taken.
+    Of the rest those with the lowest hashes of the key are taken.
     """
     known = (
         labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("label"))
         .filter(F.col("key").isNotNull() & F.col("label").isNotNull() & (bucket(F.col("key"), modulus) != held_out))
         .groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
     )
-    taken = known.orderBy(F.xxhash64("key"), "key").limit(rows)  # bounded, so that the join below may broadcast it
+    taken = hash_sample(known, "key", rows)  # bounded, so that the join below may broadcast it
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return texts.join(F.broadcast(taken), "key").select("key", "text", "label")
 
@@ -68,4 +68,4 @@ def with_scores(docs: DataFrame, one, text: str, keep: list[str] | None = None)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], scores], [*names, "score"])
 
     schema = rows.select(*[F.col(f"`{c}`") for c in names]).schema.add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return in_text_batches(rows).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, chunks, lowered, mix, owners, powers, query, runs, stored, table
+from .common import bucket, chunks, hash_sample, in_text_batches, lowered, mix, owners, powers, query, runs, stored, table
 
 MODULUS, HELD_OUT = 3, 1
 BITS, SIZES, WIDTH = 16, (2, 3, 4), 16
@@ -100,7 +100,7 @@ def descend(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, bits:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from at most ``rows`` labelled rows of ``docs`` outside the held-out ones; None without any.
 
-    The rows with the smallest hashes of their keys are taken. The driver gets
+    The rows with the lowest hashes of their keys are taken. The driver gets
     SHARDS tables of 2**BITS scores a language.
     """
     known = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
@@ -108,8 +108,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # as many as there are languages
     if not languages:
         return None
-    taken = known.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(rows)
-    sample = known.join(F.broadcast(taken), "key").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "key"), F.lit(5 * SHARDS)))
+    sample = hash_sample(known, "key", rows).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "key"), F.lit(5 * SHARDS)))
     sample = stored(sample, "language-sample")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +137,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return pd.DataFrame({"scores": [scores.astype(np.float32).tobytes()], "bias": [bias.tolist()]})
 
     found = (
-        sample.filter(f"part < {4 * SHARDS}")
+        in_text_batches(sample).filter(f"part < {4 * SHARDS}")
         .select("text", "lang", F.xxhash64(F.lit("order"), "key"), F.pmod("part", F.lit(SHARDS)))
         .mapInArrow(sparse, "index array<int>, count array<float>, lang string, order long, shard long")
         .groupBy("shard").applyInPandas(one_shard, "scores binary, bias array<double>").collect()
@@ -189,7 +188,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", also: lis
             )
 
     schema = rows.select(*names).schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return in_text_batches(rows).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 @query("op10_language")

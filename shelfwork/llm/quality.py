@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, chunks, lowered, mix, owners, query, runs, span_hashes, stored, table
+from .common import bucket, chunks, in_text_batches, lowered, mix, owners, query, runs, span_hashes, stored, table
 from .labelled import SAMPLE_ROWS, labelled_sample, sigmoid, with_scores
 
 BITS, SHARDS, EPOCHS = 18, 4, 3
@@ -119,7 +119,7 @@ def train(sample: DataFrame, bits: int = BITS, shards: int = SHARDS, epochs: int
         return pd.DataFrame({"weights": [ftrl(rows, bits, epochs).astype(np.float32).tobytes()], "rows": [len(rows)]})
 
     kind = sample.schema["key"].dataType.simpleString()
-    rows = sample.select("key", "text", "label").mapInArrow(sparse, f"key {kind}, label double, index array<int>, value array<float>")
+    rows = in_text_batches(sample.select("key", "text", "label")).mapInArrow(sparse, f"key {kind}, label double, index array<int>, value array<float>")
     rows = rows.withColumn("order", F.xxhash64("key")).drop("key").withColumn("shard", F.pmod("order", F.lit(shards)))
     found = rows.groupBy("shard").applyInPandas(one_shard, "weights binary, rows long").collect()
     if not found:

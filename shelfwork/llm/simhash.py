@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank_words, chunks, lowered, mix, owners, query, small, span_hashes, stored, table, utf8
+from .common import blank_words, chunks, in_text_batches, lowered, mix, owners, query, small, span_hashes, stored, table, utf8
 
 SHINGLE, SEED, NEAR = 3, 42, 2
 #: Files with more members are cut again.
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["key", "fingerprint"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema[0].dataType.simpleString()}, fingerprint long").withColumnRenamed("key", key)
+    return in_text_batches(rows).mapInArrow(run, f"key {rows.schema[0].dataType.simpleString()}, fingerprint long").withColumnRenamed("key", key)
 
 
 def _filed(rows: DataFrame, width: int) -> DataFrame:
@@ -211,7 +211,7 @@ def _shingled(docs: DataFrame, key: str, text: str, shingle: int, make, kinds: l
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     names = ["key", "digest", *[f.split()[0] for f in fields.split(", ")]]
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, digest binary, {fields}")
+    return in_text_batches(rows).mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, digest binary, {fields}")
 
 
 def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -274,20 +274,25 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     have a Jaccard similarity of ``similarity`` or more, as 256 min-wise hashes
     estimate it (standard deviation 0.025 at 0.8). Two texts are compared if in one
     of six segments of six hashes at least five agree (99.8 % at 0.8) and one of them
-    leads the file they meet in: eight members do, chosen by slots. Equal texts
-    are one text; texts without words are equal, null ones too. Null keys and
-    repeated rows are as in ``near_duplicates``.
+    leads a file they meet in: the member that meets most others does, and seven more
+    chosen by slots. So a text can be missed whose only partners lead none of the
+    files. Equal texts are one text; texts without words are equal, null ones too.
+    Null keys and repeated rows are as in ``near_duplicates``.
     """
     signed = stored(signatures(docs, key, text, shingle), "signatures")
     first = signed.groupBy("digest").agg(F.min("key").alias("first"), F.min(F.struct("sketch", "files")).alias("own"))
     texts = stored(first.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "own.sketch", "own.files"), "texts")
     filed = texts.select(F.explode("files").alias("file"), "node")
-    slot = F.pmod(F.xxhash64("node"), F.lit(LEADERS))
-    heads = filed.groupBy("file").agg(
-        F.count("*").alias("n"), *[F.min(F.when(slot == i, F.col("node"))).alias(f"h{i}") for i in range(LEADERS)]
-    ).filter("n > 1")
-    heads = stored(heads.select("file", F.array_compact(F.array(*[f"h{i}" for i in range(LEADERS)])).alias("heads")), "files")
-    pairs = filed.join(heads, "file").select("node", F.explode("heads").alias("head")).filter("node != head")
+    crowd = filed.groupBy("file").agg(F.count("*").alias("n")).filter("n > 1")
+    met = stored(filed.join(crowd, "file"), "files")  # what shares no file has no partner
+    # who meets most others is nearest to the middle of a family, and leads
+    middle = met.groupBy("node").agg(F.sum("n").alias("meets"))
+    slot = F.pmod(F.xxhash64("node"), F.lit(LEADERS - 1))
+    heads = met.join(middle, "node").groupBy("file").agg(
+        F.max(F.struct("meets", "node"))["node"].alias("h"), *[F.min(F.when(slot == i, F.col("node"))).alias(f"h{i}") for i in range(LEADERS - 1)]
+    )
+    heads = heads.select("file", F.array_distinct(F.array_compact(F.array("h", *[f"h{i}" for i in range(LEADERS - 1)]))).alias("heads"))
+    pairs = met.join(heads, "file").select("node", F.explode("heads").alias("head")).filter("node != head")
     pairs = pairs.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
     pairs = stored(_paired(pairs, texts.select("node", "sketch"), "sketch").mapInArrow(_estimated, "a long, b long, alike double"), "pairs")
     doubt = pairs.filter(F.col("alike").between(similarity - DOUBT, similarity + DOUBT)).select("a", "b")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, query, stored, table, utf8
+from .common import bucket, in_text_batches, query, stored, table, utf8
 from .decontaminate import word_array
 from .labelled import SAMPLE_ROWS, labelled_sample, logistic, sigmoid, with_scores
 
@@ -133,7 +133,7 @@ def train(sample: DataFrame) -> Model | None:
             x = _features(batch.column(0), own)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    rows = sample.filter("part = 0").select("text", "label").mapInArrow(run, "x array<double>, y double").collect()
+    rows = in_text_batches(sample.filter("part = 0").select("text", "label")).mapInArrow(run, "x array<double>, y double").collect()
     y = np.array([r["y"] for r in rows])  # seven numbers for each of a bounded number of rows
     if len(set(y)) < 2:
         return None
