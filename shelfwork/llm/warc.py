@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from .common import BROADCAST_ROWS, query, stored, table
+from .common import BROADCAST_ROWS, hash_sample, in_text_batches, query, small, stored, table
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 #: Bytes of an archive after which the next one begins, and read at once.
@@ -38,9 +38,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def trained_dictionary(pages: DataFrame, key: str = "page_id", text: str = "html", rows: int = SAMPLE_ROWS) -> bytes:
-    """A dictionary from the pages with the smallest hashes of their keys; empty if they are too few."""
+    """A dictionary from pages with the lowest hashes of their keys; empty if they are too few."""
     known = pages.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
-    sample = [r["text"].encode() for r in known.orderBy(F.xxhash64("key"), "key").limit(rows).collect()]
+    sample = [r["text"].encode() for r in hash_sample(known, "key", rows).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY, sample, level=LEVEL).as_bytes() if len(sample) > 8 else b""
     except zstandard.ZstdError:  # too little text to train on
@@ -85,8 +85,9 @@ def with_first(pages: DataFrame, key: str, text: str, broadcast_rows: int = BROA
     rows = pages.withColumn("payload", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
     groups = rows.groupBy("payload").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     groups = stored(groups, "payloads")
-    if groups.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return rows.join(F.broadcast(groups), "payload", "left")
+    few = small(groups, broadcast_rows)
+    if few is not groups:
+        return rows.join(few, "payload", "left")
     spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(spread, ["payload", "salt"], "left")
 
@@ -116,7 +117,7 @@ def write_archives(
         def close() -> pa.RecordBatch:
             # no other attempt of this task writes a file of this name
             name = f"part-{TaskContext.get().partitionId():06d}-{number:04d}-{uuid.uuid4().hex}.warc.zst"
-            with system.open_output_stream(f"{place}/{name}") as out:
+            with system.open_output_stream(f"{place}/{name}", compression=None) as out:
                 out.write(start)
                 for f in frames:
                     out.write(f)
@@ -132,7 +133,7 @@ def write_archives(
         if frames:
             yield close()
 
-    return stored(rows.mapInArrow(run, "archive string, records long"), "archives")
+    return stored(in_text_batches(rows).mapInArrow(run, "archive string, records long"), "archives")
 
 
 class Truncated(ValueError):
@@ -242,7 +243,7 @@ def read_archives(archives: DataFrame, folder: str, payload: bool = False) -> Da
         for batch in batches:
             for name, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen = 0
-                with system.open_input_stream(f"{place}/{name}") as file:
+                with system.open_input_stream(f"{place}/{name}", compression=None) as file:
                     reader = Reader(file)
                     dictionary = reader.dictionary()
                     own = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
