@@ -210,7 +210,7 @@ def tile_groups(df: DataFrame, block: Sequence[str], key: str, tile_rows: int) -
     block = list(block)
     sizes = df.groupBy(*block).agg(F.count("*").alias("_size")).where("_size > 1")
     tiled = (
-        df.join(sizes, block)
+        join_dim(df, sizes, block, "inner", spread_on=[key], max_rows=0)  # salted: a block may hold a third of the rows
         .withColumn("_tiles", F.ceil(F.col("_size") / F.lit(tile_rows)).cast("long"))
         .withColumn("_t", F.pmod(F.xxhash64(key), F.col("_tiles")))
         .withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
