@@ -1,9 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: each holds the words frequent in all texts
-and, after them, the words that stand out in its class against the other. Words
-are counted by the different words that they follow, so that copies of a text
-count once. Both have one length, so that what they share lies equally far. Text
+and, after them, the words and beginnings of words that stand out in its class
+against the other. They are counted by the different words that they follow, so that
+copies of a text count once. Both have one length, so that what they share lies equally far. Text
 is cut into small windows of whole words, each behind a line that both
 dictionaries hold; what the ordinary dictionary needs beyond the toxic one, in
 bytes, is a window's distance. A logistic curve over a text's distances is
@@ -28,6 +28,8 @@ from .labelled import SAMPLE_ROWS, labelled_sample, logistic, sigmoid, with_scor
 MODULUS, HELD_OUT, ACCEPT = 5, 0, 0.5
 #: Bytes in a window; frequent and outstanding words in a dictionary.
 WINDOW, FREQUENT, OUTSTANDING = 40, 100, 4096
+#: Longer words count by so many first letters too; this marks such a beginning.
+START, ANY = 5, "*"
 #: Starts each dictionary and each window, so that every window has a match; no word holds these bytes.
 LINE, GAP = bytes(range(1, 32)), b"\x01"
 #: What makes a word stand out: standard deviations above its share, and times its share in the other class.
@@ -96,7 +98,9 @@ def dictionaries(sample: DataFrame, frequent: int = FREQUENT, outstanding: int =
     met = sample.select("label", F.concat(F.array(F.lit("")), word_array(F.col("text"))).alias("words"))
     after = F.zip_with("words", F.slice("words", 2, F.size("words")), lambda v, w: F.struct(w.alias("word"), F.xxhash64(v).alias("before")))
     met = met.select("label", F.explode_outer(after).alias("at")).select("label", "at.word", "at.before")
-    met = met.filter(F.col("word").isNotNull() & (F.octet_length("word") <= 64)).distinct()
+    met = met.filter(F.col("word").isNotNull() & (F.octet_length("word") <= 64))
+    start = F.when(F.length("word") > START, F.concat(F.substring("word", 1, START), F.lit(ANY)))
+    met = met.select("label", "before", F.explode(F.array_compact(F.array("word", start))).alias("word")).distinct()
     counts = stored(met.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("ordinary")), "words-of-classes")
     n = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0.0)).alias("toxic"), F.coalesce(F.sum("ordinary"), F.lit(0.0)).alias("ordinary")).first()
     chosen = []
@@ -110,7 +114,7 @@ def dictionaries(sample: DataFrame, frequent: int = FREQUENT, outstanding: int =
         best = counts.filter(lifted).select("word", z).filter(F.col("z") > DEVIATIONS).orderBy(F.desc("z"), "word").limit(outstanding)
         chosen.append([r["word"] for r in reversed(best.collect())])  # the best come last, nearest to the text
     marked = {w for words in chosen for w in words}
-    common = counts.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "word").limit(frequent + len(marked)).select("word").collect()
+    common = counts.filter(~F.col("word").endswith(ANY)).orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "word").limit(frequent + len(marked)).select("word").collect()
     common = [r["word"] for r in common if r["word"] not in marked][:frequent]
     tails = [_entries(words) for words in chosen]
     size = max(map(len, tails))
@@ -118,7 +122,7 @@ def dictionaries(sample: DataFrame, frequent: int = FREQUENT, outstanding: int =
 
 
 def _entries(words) -> bytes:
-    return b"".join(GAP + b" " + w.encode() + b" " for w in words)
+    return b"".join(GAP + b" " + (w.removesuffix(ANY) if w.endswith(ANY) else w + " ").encode() for w in words)
 
 
 def train(sample: DataFrame) -> Model | None:
