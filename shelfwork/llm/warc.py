@@ -32,6 +32,8 @@ ARCHIVE, READ = 64 << 20, 1 << 20
 #: The dictionary, and the pages it is trained on: so many at most, none longer than this.
 DICTIONARY, SAMPLE_ROWS, SAMPLE_CHARS = 16 << 10, 256, 64 << 10
 SALTS, LEVEL = 16, 3
+#: Tasks that read archives, at most.
+READERS = 20_000
 KEY = "urn:x-page:"
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -260,7 +262,8 @@ def read_archives(archives: DataFrame, folder: str, payload: bool = False) -> Da
                 if count is not None and seen != count:
                     raise ValueError(f"{name} has {seen} records, not {count}")
 
-    return archives.select("archive", "records").repartition("archive").mapInArrow(
+    tasks = min(max(archives.count(), 1), READERS)  # stated, or else the short list would end in one task
+    return archives.select("archive", "records").repartition(tasks).mapInArrow(
         run, FIELDS + ", problem string" + (", payload binary" if payload else "")
     )
 
