@@ -32,8 +32,10 @@ MEMBERS = 4096
 BLOCK = 1 << 15
 #: Min-wise hashes of a text, and the segments that are filed under all but one of theirs.
 HASHES, SEGMENT, SEGMENTS = 256, 6, 6
-#: Members of a file that all others are compared with; how near the threshold an estimate calls for a count.
-LEADERS, DOUBT = 8, 0.06
+#: Members of a file that all others are compared with first; how near the threshold an estimate calls for a count.
+LEADERS, DOUBT = 8, 0.1
+#: Members of a tile: what the leaders leave apart meets in pairs of tiles.
+TILE = 1024
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -267,16 +269,90 @@ def _paired(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
+def _apart(group: np.ndarray, sketch: np.ndarray, low: float, high: float) -> list[tuple[int, int, float]]:
+    """Links of two tiles (p, q, own tile, node, root; a row of ``sketch`` each) between members of different roots.
+
+    Above ``high`` only what joins more of them, from ``low`` on all that is still apart then.
+    """
+    (p, q), own, node, root = group[:2, 0], group[2], group[3], group[4].copy()
+    left, right = (np.arange(len(own)),) * 2 if p == q else (np.flatnonzero(own == p), np.flatnonzero(own == q))
+    found, doubt = [], []
+    for k, i in enumerate(left):
+        rest = right[k + 1 :] if p == q else right
+        rest = rest[root[rest] != root[i]]
+        if not len(rest):
+            continue
+        alike = (sketch[rest] == sketch[i]).mean(1)
+        hit = np.flatnonzero(alike > high)
+        if len(hit):
+            joined, at = np.unique(root[rest[hit]], return_index=True)
+            found += [(i, rest[j], alike[j]) for j in hit[at]]
+            root[np.isin(root, joined)] = root[i]
+        near = np.flatnonzero((alike >= low) & (alike <= high))
+        doubt.append((np.full(len(near), i), rest[near], alike[near]))
+    for i, j, alike in doubt:
+        open_ = root[i] != root[j]
+        found += zip(i[open_], j[open_], alike[open_], strict=True)
+    return [(int(max(node[i], node[j])), int(min(node[i], node[j])), float(alike)) for i, j, alike in found]
+
+
+def _tiles(low: float, high: float):
+    """``_apart`` of rows (file, p, q, own tile, node, root, sketch) that lie in order of file, p and q."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            own = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
+            sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u2").reshape(len(batch), -1)
+            if held is not None:
+                own, sketch = np.concatenate((held[0], own), axis=1), np.concatenate((held[1], sketch))
+            cuts = np.flatnonzero((np.diff(own[:3]) != 0).any(0)) + 1
+            last = cuts[-1] if len(cuts) else 0
+            held = own[:, last:], sketch[last:]  # its tiles may go on in the next batch
+            yield of_groups(own[:, :last], sketch[:last], cuts[:-1])
+        if held is not None:
+            yield of_groups(*held, np.zeros(0, np.int64))
+
+    def of_groups(own: np.ndarray, sketch: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+        found, bounds = [], [0, *cuts.tolist(), own.shape[1]]
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            if j - i > 1:
+                found += _apart(own[1:, i:j], sketch[i:j], low, high)
+        a, b, alike = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.float64())], ["a", "b", "alike"])
+
+    return run
+
+
+def _left_apart(met: DataFrame, heads: DataFrame, roots: DataFrame, texts: DataFrame, low: float, high: float) -> DataFrame | None:
+    """(a, b, alike) of members that meet in a file, lead none that they share and have different roots; None without such files."""
+    rest = met.join(heads.filter("n - size(heads) > 1").drop("n"), "file").filter(~F.array_contains("heads", F.col("node")))
+    rest = rest.select("file", "node", (F.col("n") - F.size("heads")).alias("n")).join(roots, "node", "left")
+    rest = stored(rest.select("file", "node", "n", F.coalesce("root", "node").alias("root")), "rest")
+    apart = stored(rest.groupBy("file").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("file"), "apart")
+    if apart.isEmpty():
+        return None
+    tiles = F.ceil(F.col("n") / TILE)
+    rest = rest.join(small(apart), "file").withColumn("t", F.pmod(F.xxhash64("node"), tiles))
+    rest = rest.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    rest = rest.select("file", F.least("t", "s").alias("p"), F.greatest("t", "s").alias("q"), "t", "node", "root")
+    rest = rest.join(texts.select("node", "sketch"), "node").select("file", "p", "q", "t", "node", "root", "sketch")
+    rest = rest.repartition("file", "p", "q").sortWithinPartitions("file", "p", "q")
+    found = rest.mapInArrow(_tiles(low, high), "a long, b long, alike double")
+    return stored(found.groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
+
+
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: key, group_id (smallest key of the group).
 
     Groups are the components of links between texts whose sets of word shingles
     have a Jaccard similarity of ``similarity`` or more, as 256 min-wise hashes
-    estimate it (standard deviation 0.025 at 0.8). Two texts are compared if in one
-    of six segments of six hashes at least five agree (99.8 % at 0.8) and one of them
-    leads a file they meet in: the member that meets most others does, and seven more
-    chosen by slots. So a text can be missed whose only partners lead none of the
-    files. Equal texts are one text; texts without words are equal, null ones too.
+    estimate it (standard deviation 0.025 at 0.8) and shingles decide within 0.1 of it. Two texts are compared if in one
+    of six segments of six hashes at least five agree (99.8 % at 0.8). In a file all
+    members first meet those that lead it: the one that meets most others, and up to
+    seven more chosen by slots. What is in one group then needs no more comparison;
+    members of different groups meet in tiles, in files of any size.
+    Equal texts are one text; texts without words are equal, null ones too.
     Null keys and repeated rows are as in ``near_duplicates``.
     """
     signed = stored(signatures(docs, key, text, shingle), "signatures")
@@ -289,18 +365,25 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     middle = met.groupBy("node").agg(F.sum("n").alias("meets"))
     slot = F.pmod(F.xxhash64("node"), F.lit(LEADERS - 1))
     heads = met.join(middle, "node").groupBy("file").agg(
-        F.max(F.struct("meets", "node"))["node"].alias("h"), *[F.min(F.when(slot == i, F.col("node"))).alias(f"h{i}") for i in range(LEADERS - 1)]
+        F.first("n").alias("n"), F.max(F.struct("meets", "node"))["node"].alias("h"), *[F.min(F.when(slot == i, F.col("node"))).alias(f"h{i}") for i in range(LEADERS - 1)]
     )
-    heads = heads.select("file", F.array_distinct(F.array_compact(F.array("h", *[f"h{i}" for i in range(LEADERS - 1)]))).alias("heads"))
-    pairs = met.join(heads, "file").select("node", F.explode("heads").alias("head")).filter("node != head")
+    heads = heads.select("file", "n", F.array_distinct(F.array_compact(F.array("h", *[f"h{i}" for i in range(LEADERS - 1)]))).alias("heads"))
+    pairs = met.join(heads.drop("n"), "file").select("node", F.explode("heads").alias("head")).filter("node != head")
     pairs = pairs.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
     pairs = stored(_paired(pairs, texts.select("node", "sketch"), "sketch").mapInArrow(_estimated, "a long, b long, alike double"), "pairs")
-    doubt = pairs.filter(F.col("alike").between(similarity - DOUBT, similarity + DOUBT)).select("a", "b")
-    wanted = doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "digest"), "node")
-    sets = shingle_sets(docs, key, text, shingle).join(small(stored(wanted, "doubtful")), "digest").groupBy("node").agg(F.min("shingles").alias("shingles"))
-    counted = _paired(doubt, stored(sets, "shingles"), "shingles").mapInArrow(_counted, "a long, b long, alike double")
-    sure = pairs.filter(F.col("alike") > similarity + DOUBT)
-    roots = components(sure.union(counted.filter(F.col("alike") >= similarity)).select("a", "b"))
+    low, high = similarity - DOUBT, similarity + DOUBT
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        doubt = pairs.filter(F.col("alike").between(low, high)).select("a", "b")
+        wanted = doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "digest"), "node")
+        sets = shingle_sets(docs, key, text, shingle).join(small(stored(wanted, "doubtful")), "digest").groupBy("node").agg(F.min("shingles").alias("shingles"))
+        counted = _paired(doubt, stored(sets, "shingles"), "shingles").mapInArrow(_counted, "a long, b long, alike double")
+        return pairs.filter(F.col("alike") > high).union(counted.filter(F.col("alike") >= similarity)).select("a", "b")
+
+    roots = components(alike(pairs))
+    more = _left_apart(met, heads, roots, texts, low, high)
+    if more is not None:
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(alike(more)))
     linked = texts.select("node", "first").join(roots, "node").select("node", "first", "root")
     linked = linked.union(texts.select("node", "first").join(roots.select(F.col("root").alias("node")).distinct(), "node").withColumn("root", F.col("node")))
     linked = stored(linked, "linked")
