@@ -105,44 +105,47 @@ def top_terms(df: DataFrame, label: str, text: str, k: int = 20, tokens=T.vocabu
 # ------------------------------------------------------------------ glued words
 
 
-def word_splits(tokens: DataFrame, counts: DataFrame, longest: int = 24) -> DataFrame:
+def word_splits(tokens: DataFrame, counts: DataFrame, head: int = 24) -> DataFrame:
     """(token, split) of the distinct tokens that fall into several likely words.
 
-    ``counts`` (term, n) may be of any size: the substrings of the tokens, of up to
-    ``longest`` letters, meet it in a join, and only what is known comes back to
-    the token. A token is split into the pieces of the highest joint probability;
-    unknown pieces of n letters count as 10 / (total * 10 ** n).
+    ``counts`` (term, n) may be of any size: the substrings of the tokens meet it in
+    a join, and only what is known comes back to the token. Terms longer than
+    ``head`` letters meet by their first ones and are then compared whole. A token is
+    split into the pieces of the highest joint probability; unknown pieces of n
+    letters count as 10 / (total * 10 ** n).
     """
     starts = F.explode(F.sequence(F.lit(0), F.length("token") - 1)).alias("start")
-    ends = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("token") - F.col("start")))).alias("size")
+    ends = F.explode(F.sequence(F.lit(1), F.least(F.lit(head), F.length("token") - F.col("start")))).alias("size")
     distinct = tokens.select("token").where(F.length("token") > 0).distinct()
     pieces = distinct.select("token", starts).select("token", "start", ends)
     pieces = pieces.withColumn("term", F.substring("token", F.col("start") + 1, F.col("size")))
-    known = pieces.join(counts.select("term", "n"), "term").groupBy("token").agg(
-        F.collect_list(F.struct("start", "size", "n")).alias("known")
-    )
+    long = F.length("term") > head
+    begun = counts.select(F.substring("term", 1, head).alias("term"), F.when(long, F.col("term")).alias("whole"), "n")
+    whole = F.col("whole").isNull() | (F.substring("token", F.col("start") + 1, F.length("whole")) == F.col("whole"))
+    size = F.coalesce(F.length("whole"), "size").alias("size")
+    known = pieces.join(begun, "term").where(whole).groupBy("token").agg(F.collect_list(F.struct("start", size, "n")).alias("known"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     rows = distinct.join(known, "token", "left").join(F.broadcast(total))  # one row
 
     @F.pandas_udf("string")
     def split(token: pd.Series, known: pd.Series, total: pd.Series) -> pd.Series:
-        return pd.Series([best_split(t, k if k is not None else (), n, longest) for t, k, n in zip(token, known, total, strict=True)])
+        return pd.Series([best_split(t, k if k is not None else (), n) for t, k, n in zip(token, known, total, strict=True)])
 
     return rows.select("token", split("token", "known", "total").alias("split")).where("split != token")
 
 
-def best_split(token: str, known, total: float, longest: int = 24) -> str:
+def best_split(token: str, known, total: float) -> str:
     """The pieces of the token with the highest joint probability; of equals the longest last piece."""
     total = float(total or 1)
-    unknown = [0.0] + [log10(10.0 / total) - n for n in range(1, longest + 1)]
-    scores = {(k["start"], k["start"] + k["size"]): log10(k["n"] / total) for k in known}
-    best = [(0.0, 0)]
+    unknown, ending = log10(10.0 / total), {}
+    for k in known:
+        ending.setdefault(k["start"] + k["size"], []).append((k["start"], log10(k["n"] / total)))
+    best, free = [(0.0, 0)], (0.0, 0)  # free: where an unknown piece starts best, as each of its letters costs one
     for end in range(1, len(token) + 1):
-        options = [
-            (best[start][0] + scores.get((start, end), unknown[end - start]), -start) for start in range(max(0, end - longest), end)
-        ]
-        score, start = max(options)
+        options = [(best[start][0] + score, -start) for start, score in ending.get(end, ())]
+        score, start = max([(free[0] + unknown - end, free[1]), *options])
         best.append((score, -start))
+        free = max(free, (score + end, -end))
     pieces, end = [], len(token)
     while end > 0:
         pieces.append(token[best[end][1] : end])
@@ -150,7 +153,7 @@ def best_split(token: str, known, total: float, longest: int = 24) -> str:
     return " ".join(reversed(pieces))
 
 
-def split_glued_words(df: DataFrame, key: str, text: str, counts: DataFrame, longest: int = 24) -> DataFrame:
+def split_glued_words(df: DataFrame, key: str, text: str, counts: DataFrame, head: int = 24) -> DataFrame:
     """``text`` with its glued words split, words of letters in lower case, white space as one blank.
 
     Every distinct word is split once; the others are joined back by word.
@@ -158,7 +161,7 @@ def split_glued_words(df: DataFrame, key: str, text: str, counts: DataFrame, lon
     words = df.select(key, F.posexplode(T.words(text)).alias("pos", "word"))
     letters = F.col("word").rlike("^\\p{L}+$")
     words = words.withColumn("token", F.when(letters, F.lower("word")))
-    splits = word_splits(words.where(F.col("token").isNotNull()), counts, longest)
+    splits = word_splits(words.where(F.col("token").isNotNull()), counts, head)
     named = join_dim(words, splits, ["token"], "left", spread_on=["pos"])
     line = F.struct("pos", F.coalesce("split", "token", "word").alias("w"))
     lines = named.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(line))["w"], " ").alias("_line"))

@@ -185,6 +185,15 @@ def test_glued_words(spark):
     assert got[:6] == ["the red car in2", "the car", "forêt forêt noire", "", None, "the car zzz"]
 
 
+def test_long_words_are_words_too(spark):
+    long = "rindfleischetikettierungsaufgaben"  # 33 letters
+    table = spark.createDataFrame([(long, 40), (long[:24], 1), ("red", 50), ("rind", 9)], "term string, n long")
+    texts = [long, f"red{long}", f"{long}red", long[:30], f"red{'q' * 40}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = [r["t"] for r in V.split_glued_words(df, "id", "t", table).orderBy("id").collect()]
+    assert got == [long, f"red {long}", f"{long} red", f"{long[:24]} {long[24:30]}", f"red {'q' * 40}"]
+
+
 def test_best_split_is_the_best_of_all(spark):
     counts = {"a": 5, "ab": 9, "b": 2, "ba": 4, "aba": 1}
     known = lambda t: [{"start": i, "size": j - i, "n": counts[t[i:j]]} for i in range(len(t)) for j in range(i + 1, len(t) + 1) if t[i:j] in counts]
