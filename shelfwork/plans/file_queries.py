@@ -54,15 +54,21 @@ LOGS = """
     )"""
 
 
+#: Event ids in a block: a log holds the events of a block at most, and epochs are numbered block by block.
+BLOCK = 1 << 16
+
+
 @query("log_history", f"WITH {LOGS} SELECT epoch, loss, loss / 2 AS eval_loss, loss / 4 AS eval_Accuracy FROM log")
 def log_history(spark, folder):
-    """Training logs, one JSON file for each group of users."""
+    """Training logs, one JSON file for each group of users and block of events."""
     rows = table(spark, folder, "events").select(
-        (F.col("user_id") % 8).alias("trial"), F.round(F.col("event_id") / 1000.0, 4).alias("epoch"), F.round("value", 6).alias("loss")
+        (F.col("user_id") % 8).alias("trial"), F.expr(f"event_id div {BLOCK}").alias("block"),
+        F.round(F.col("event_id") / 1000.0, 4).alias("epoch"), F.round("value", 6).alias("loss"),
     )
     entry = F.struct("epoch", "loss", (F.col("loss") / 2).alias("eval_loss"), (F.col("loss") / 4).alias("eval_Accuracy"))
     target = shared_folder(spark, "logs")
-    rows.groupBy("trial").agg(F.collect_list(entry).alias("log_history")).write.partitionBy("trial").json(target)
+    logs = rows.groupBy("trial", "block").agg(F.collect_list(entry).alias("log_history"))
+    logs.write.partitionBy("trial", "block").json(target)
     return readers.read_log_history(spark, target)
 
 
@@ -76,23 +82,26 @@ TRIALS = """
     f"WITH {TRIALS} SELECT trial_id, accuracy, epochs, CASE WHEN trial_id LIKE '%e%' THEN 'units=' || length(trial_id) ELSE '' END AS parameters FROM last",
 )
 def trial_overview(spark, folder):
-    """Histories and parameters of trials, a folder each; some trials have no parameters."""
+    """Histories and parameters of trials, a folder each, an epoch in a line; some trials have no parameters."""
     from pyspark.sql import Window as W
 
-    events = table(spark, folder, "events")
-    place = F.row_number().over(W.partitionBy("event_type").orderBy("event_id"))
-    values = F.sort_array(F.collect_list(F.struct("epoch", "value")))["value"]
-    numbered = events.select("event_type", "event_id", "value").withColumn("epoch", place)
-    series = numbered.groupBy(F.col("event_type").alias("trial")).agg(values.alias("accuracy"))
+    events = table(spark, folder, "events").select(F.col("event_type").alias("trial"), "event_id", "value")
+    events = events.withColumn("block", F.coalesce(F.expr(f"event_id div {BLOCK}"), F.lit((1 << 63) - 1)))  # null ids are last
+    before = W.partitionBy("trial").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row for each block
+    offsets = events.groupBy("trial", "block").agg(F.count("*").alias("n"))
+    offsets = offsets.select(F.col("trial").alias("own"), F.col("block").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("trial", "block").orderBy("event_id"))
+    numbered = events.withColumn("place", place).join(offsets, F.expr("trial <=> own and block = at"))
+    epochs = numbered.select("trial", (F.col("before") + F.col("place")).alias("epoch"), F.col("value").alias("accuracy"), F.col("value").alias("loss"))
     target = shared_folder(spark, "trials")
-    series.select("trial", F.to_json(F.struct("accuracy", F.col("accuracy").alias("loss"))).alias("value")).write.partitionBy("trial").text(f"{target}/histories")
-    named = series.where(F.contains(F.col("trial"), F.lit("e")))
+    epochs.write.partitionBy("trial").json(f"{target}/histories")
+    named = events.select("trial").where(F.contains(F.col("trial"), F.lit("e"))).distinct()
     hyper = F.struct(F.struct(F.create_map(F.lit("units"), F.length("trial").cast("string")).alias("values")).alias("hyperparameters"))
     named.select("trial", F.to_json(hyper["hyperparameters"]).alias("value")).write.partitionBy("trial").text(f"{target}/parameters")
     trial = F.element_at(F.split(readers.path_part(F.col("_metadata.file_path"), -2), "="), -1).alias("trial_id")
-    history = spark.read.schema("accuracy array<double>").json(f"{target}/histories").select(trial, "accuracy")
+    history = spark.read.schema("epoch long, accuracy double").json(f"{target}/histories").select(trial, "epoch", "accuracy")
     parameters = spark.read.schema("values map<string,string>").json(f"{target}/parameters").select(trial, F.col("values").alias("parameters"))
-    scores = history.select("trial_id", F.element_at("accuracy", -1).alias("accuracy"), F.size("accuracy").cast("long").alias("epochs"))
+    scores = history.groupBy("trial_id").agg(F.max_by("accuracy", "epoch").alias("accuracy"), F.max("epoch").alias("epochs"))
     shown = readers.with_parameters(scores, parameters)
     text = F.array_join(F.transform(F.map_entries("parameters"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return shown.select("trial_id", "accuracy", "epochs", text.alias("parameters"))

@@ -264,3 +264,18 @@ def test_a_users_function_is_called_once_for_each_batch(spark, tmp_path, method)
         assert all(r["text_model"] == r["text"].upper() for r in got)
         asked = sum(int(f.read_text()) for f in calls.iterdir())
         assert asked == (100 if method == "undersample" else 200)
+
+
+def test_logs_and_histories_are_bounded(spark, tmp_path, monkeypatch):
+    from shelfwork.plans import file_queries
+
+    monkeypatch.setattr(file_queries, "shared_folder", lambda spark, name: f"{tmp_path}/{name}")
+    n, block = 150_000, 1 << 16  # all of one user and one type
+    events = spark.range(n).select(F.col("id").alias("event_id"), F.lit(8).cast("long").alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") / 2).alias("value"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    logs = file_queries.log_history(spark, str(tmp_path))
+    assert logs.count() == n and logs.agg(F.countDistinct("epoch")).first()[0] == n
+    sizes = spark.read.json(f"{tmp_path}/logs").select(F.size("log_history").alias("n")).collect()
+    assert len(sizes) == 3 and max(r["n"] for r in sizes) == block
+    assert [tuple(r) for r in file_queries.trial_overview(spark, str(tmp_path)).collect()] == [("view", (n - 1) / 2, n, "units=4")]
+    assert spark.read.text(f"{tmp_path}/trials/histories").agg(F.max(F.length("value"))).first()[0] < 100
