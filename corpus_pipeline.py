@@ -11,43 +11,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwork.llm import bpe, decontaminate, quality, simhash, toxicity
-from shelfwork.llm.common import stored, table
+from shelfwork.llm.common import small, stored, table, text_digest
 
 #: SQL cannot state the classifiers and the tokens; the stages are tested against plain Python.
 ORACLE_SQL = None
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; all of them if there are no labels."""
+    """Documents that the quality classifier accepts; all of them if there are no labels.
+
+    Decided row by row on the whole text, long ones too: null and empty texts have
+    the score of the bias alone, repeated rows share their fate, an empty table
+    stays empty. Other columns pass through, whatever their names.
+    """
     scored = quality.score(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
     return scored.filter(F.col("score") >= quality.ACCEPT).select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not flag; all of them if there are no labels."""
+    """Documents that the toxicity classifier does not flag; all of them if there are no labels.
+
+    Nulls, empty and very long texts, repeated rows, empty tables and other columns
+    as in the stage before; a null or empty text is one empty window.
+    """
     scored = toxicity.score(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
     return scored.filter(F.col("score") < toxicity.ACCEPT).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose five-word shingles are alike by 0.8, the document with the smallest id.
+    """Of each group of documents that SimHash links at up to two bits of three-word shingles, the one with the smallest id.
 
-    Rows without an id all stay, and so do rows that repeat that id.
+    Groups are of rows: repeated rows and rows with null ids lose all but one too
+    (a null id stays only if its group has no other). Null and empty texts are one
+    group; long texts count whole; an empty table stays empty.
     """
-    groups = simhash.similar_texts(docs, shingle=5, similarity=0.8)
-    gone = groups.filter("doc_id != group_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return simhash.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in passages of the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.filter(decontaminate.is_contaminated()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Documents of which less than a twentieth lies in passages of the benchmark.
+
+    Decided by the text, whatever the ids: equal texts go together, null and empty
+    ones stay, as all do if the benchmark is empty.
+    """
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter(decontaminate.is_contaminated())
+    gone = small(stored(found.select("digest").distinct(), "contaminated-texts"))
+    return docs.join(gone, text_digest("text") == gone["digest"], "left_anti").select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each document that is left, and the digests of what they decode to."""
+    """The tokens of each document that is left, and the digests of what they decode to.
+
+    A row each, in whole texts; null texts are empty and have no tokens.
+    """
     return bpe.encode(docs, bpe.multilingual()).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

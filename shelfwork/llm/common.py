@@ -16,6 +16,8 @@ SQL: dict[str, str] = {}
 
 #: A side of at most so many rows and so many bytes in its files is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Bytes of text in a sample that a model is fitted on.
+SAMPLE_BYTES = 256 << 20
 #: Rows with texts in an Arrow batch.
 TEXT_ROWS = 1000
 #: Bytes of text that numpy works on at once.
@@ -54,17 +56,32 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if planned <= size and df.limit(rows + 1).count() <= rows else df
 
 
-def hash_sample(df: DataFrame, key: str, rows: int, salt: str = "sample") -> DataFrame:
-    """All of ``df`` if it has at most ``rows`` rows, else those with the lowest hashes of the key.
+def hash_sample(
+    df: DataFrame, on: str | list[str], rows: int, salt: str = "sample", size: str | None = None, most: int = SAMPLE_BYTES
+) -> DataFrame:
+    """All of ``df`` if it has at most ``rows`` rows and ``most`` bytes, else those with the lowest hashes of ``on``.
 
-    Their number stays four standard deviations below ``rows``; no task or
+    ``on`` tells all rows of ``df`` apart (group them first), so that no value holds
+    more of the sample than one row; then their number stays four standard
+    deviations below ``rows``. The column ``size`` has each row's bytes. No task or
     driver ranks them.
     """
-    n = df.count()
-    if n <= rows:
-        return df
-    share = max(rows - 4 * rows**0.5, rows / 2) / n
-    return df.filter(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 31)) < int(share * (1 << 31)))
+    on = [on] if isinstance(on, str) else on
+    n, total = df.agg(F.count("*"), F.sum(F.col(size) if size else F.lit(0))).first()
+    share = min(1.0 if n <= rows else max(rows - 4 * rows**0.5, rows / 2) / n, 1.0 if not total or total <= most else most / total)
+    return df if share == 1 else df.filter(F.pmod(F.xxhash64(F.lit(salt), *on), F.lit(1 << 31)) < int(share * (1 << 31)))
+
+
+def text_sample(df: DataFrame, text: str, rows: int, also: tuple[str, ...] = (), most: int = SAMPLE_BYTES) -> DataFrame:
+    """Of the different ``text``s (and values ``also``) of ``df`` at most ``rows`` and about ``most`` bytes, a row each, with its md5 ``digest``.
+
+    Copies count once, whatever their keys; rows with nulls in these columns are left out.
+    """
+    on = ["digest", *also]
+    of = df.withColumn("digest", text_digest(text)).dropna(subset=on)
+    pool = of.groupBy(*on).agg(F.max(F.octet_length(text)).alias("size"))
+    taken = hash_sample(pool, on, rows, "sample", "size", most).select(*on)  # bounded, so that the join below may broadcast it
+    return of.join(F.broadcast(taken), on).dropDuplicates(on)
 
 
 def ascii_lower(text):

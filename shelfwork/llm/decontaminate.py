@@ -65,7 +65,7 @@ def contamination(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
     item_text: str = "text", words: int = WORDS,
 ) -> DataFrame:
-    """One row per row of ``docs``: key, n_words, n_hit, item_ids (sorted as strings).
+    """One row per row of ``docs``: key, digest (md5 of the text), n_words, n_hit, item_ids (sorted as strings).
 
     Null and empty texts have no words and no hits; so have all texts if
     ``items`` is empty. Items without words count for nothing, null item ids
@@ -88,7 +88,7 @@ def contamination(
     hashed = rows.select("key", text_digest("text").alias("digest"), word_array(F.col("text")).alias("words"))
     if not lengths:
         return hashed.select(
-            F.col("key").alias(key), F.size("words").cast("long").alias("n_words"),
+            F.col("key").alias(key), "digest", F.size("words").cast("long").alias("n_words"),
             F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"),
         )
     windows = stored(windows, "benchmark-windows")
@@ -149,7 +149,7 @@ def contamination(
         hashed.select("key", "digest", "n_words")
         .join(found, "digest", "left")
         .select(
-            F.col("key").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.col("key").alias(key), "digest", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         )
     )

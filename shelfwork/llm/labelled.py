@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, hash_sample, in_text_batches
+from .common import bucket, hash_sample, in_text_batches, stored, text_digest
 
-#: Labelled rows that a classifier is fitted on, at most.
+#: Labelled texts that a classifier is fitted on, at most.
 SAMPLE_ROWS = 20_000
 
 
@@ -19,20 +19,29 @@ def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, key: str = "doc_id", text: str = "text",
     rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """(key, text, label) of at most ``rows`` labelled documents, the same ones each time.
+    """(key, text, label) of at most ``rows`` different labelled texts, the same ones each time.
 
     Rows whose crc32 of the key modulo ``modulus`` is ``held_out`` are not looked
-    at; nor are null keys, null labels and keys whose labels contradict each other.
-    Of the rest those with the lowest hashes of the key are taken.
+    at; nor are null keys, null labels, and keys or texts whose labels contradict
+    each other. Copies count once, under their smallest key. Of the rest those with
+    the lowest hashes of the text are taken, about SAMPLE_BYTES of them at most.
     """
+    usable = F.col("key").isNotNull() & (bucket(F.col("key"), modulus) != held_out)
     known = (
-        labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("label"))
-        .filter(F.col("key").isNotNull() & F.col("label").isNotNull() & (bucket(F.col("key"), modulus) != held_out))
+        labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("label")).filter(usable & F.col("label").isNotNull())
         .groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
     )
-    taken = hash_sample(known, "key", rows)  # bounded, so that the join below may broadcast it
-    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(taken), "key").select("key", "text", "label")
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(usable)
+    ids = texts.select("key", text_digest("text").alias("digest"), F.octet_length("text").alias("size")).distinct()
+    pool = (
+        ids.join(known, "key").groupBy("digest")
+        .agg(F.min("key").alias("key"), F.min("label").alias("label"), F.max("label").alias("most"), F.max("size").alias("size"))
+        .filter("label = most").select("digest", "key", "label", "size")
+    )
+    # bounded, so that the join below may broadcast it
+    taken = stored(hash_sample(stored(pool, "labelled"), "digest", rows, size="size"), "labelled-sample").drop("size")
+    found = texts.join(F.broadcast(taken), "key").filter(text_digest("text") == F.col("digest"))
+    return found.dropDuplicates(["digest"]).select("key", "text", "label")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, chunks, hash_sample, in_text_batches, lowered, mix, owners, powers, query, runs, stored, table
+from .common import bucket, chunks, in_text_batches, lowered, mix, owners, powers, query, runs, stored, table, text_sample
 
 MODULUS, HELD_OUT = 3, 1
 BITS, SIZES, WIDTH = 16, (2, 3, 4), 16
@@ -98,17 +98,18 @@ def descend(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, bits:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model from at most ``rows`` labelled rows of ``docs`` outside the held-out ones; None without any.
+    """A model from at most ``rows`` different texts of ``docs`` outside the held-out rows; None without any.
 
-    The rows with the lowest hashes of their keys are taken. The driver gets
-    SHARDS tables of 2**BITS scores a language.
+    Copies in one language count once; of the rest those with the lowest hashes of
+    text and language are taken. The driver gets SHARDS tables of 2**BITS scores a language.
     """
-    known = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket(F.col("key"), MODULUS) != HELD_OUT))
+    known = docs.filter(bucket(F.col(key), MODULUS) != HELD_OUT)
+    known = known.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # as many as there are languages
     if not languages:
         return None
-    sample = hash_sample(known, "key", rows).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "key"), F.lit(5 * SHARDS)))
+    sample = text_sample(known, "text", rows, ("lang",)).withColumn("key", F.xxhash64("digest", "lang"))
+    sample = sample.select("key", "text", "lang", F.pmod(F.xxhash64(F.lit("part"), "key"), F.lit(5 * SHARDS)).alias("part"))
     sample = stored(sample, "language-sample")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

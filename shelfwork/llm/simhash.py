@@ -7,10 +7,6 @@ join; what meets is verified. A file with too many members is cut again by the
 other half in the same way (16, then 8 bits), after which a file cannot hold
 more than 2,048 different fingerprints. Copies share a fingerprint, so only
 different ones are compared.
-
-A similarity of 0.8 in word shingles is out of reach of two differing bits. For it
-``similar_texts`` uses the same variants over a signature of min-wise hashes: of
-the hashes in a segment all but one agree, in some segment of similar texts.
 """
 
 from __future__ import annotations
@@ -23,19 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank_words, chunks, in_text_batches, lowered, mix, owners, query, small, span_hashes, stored, table, utf8
+from .common import in_text_batches, query, small, stored, table, utf8
 
 SHINGLE, SEED, NEAR = 3, 42, 2
 #: Files with more members are cut again.
 MEMBERS = 4096
 #: Shingles hashed at once.
 BLOCK = 1 << 15
-#: Min-wise hashes of a text, and the segments that are filed under all but one of theirs.
-HASHES, SEGMENT, SEGMENTS = 256, 6, 6
-#: Members of a file that all others are compared with first; how near the threshold an estimate calls for a count.
-LEADERS, DOUBT = 8, 0.1
-#: Members of a tile: what the leaders leave apart meets in pairs of tiles.
-TILE = 1024
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -172,6 +162,23 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def representatives(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, near: int = NEAR
+) -> DataFrame:
+    """``docs`` with one row of each group of ``near_duplicates``: that with the smallest key, of equal keys the first row.
+
+    Groups are of rows, so rows with null keys and rows that share a key are in
+    groups of their texts too; a null key comes last. Texts without words are one
+    group. All columns are kept as they are.
+    """
+    row, own = "_row", "_own"
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    named = numbered.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row")).alias(own), F.col(text).alias("text"))
+    groups = near_duplicates(named, own, "text", shingle, near)
+    gone = groups.filter(F.col(f"{own}.row") != F.col("component_id.row")).select(F.col(f"{own}.row").alias(row))
+    return numbered.join(small(stored(gone, "near-copies")), row, "left_anti").select(docs.columns)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, near: int = NEAR) -> DataFrame:
     """One row per row of ``docs``: key, fingerprint (long), component_id (smallest key reachable).
 
@@ -192,207 +199,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return prints.join(named, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
 
 
-def _shingled(docs: DataFrame, key: str, text: str, shingle: int, make, kinds: list, fields: str) -> DataFrame:
-    """(key, digest of the words, and what ``make`` returns of the sorted set of 64-bit shingle hashes) of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, at in chunks(batch.column(1)):
-                data = lowered(data)
-                starts, ends = blank_words(data, at)
-                words, bounds = span_hashes(data, starts, ends), np.searchsorted(owners(starts, at), np.arange(len(at)))
-                line, out = words.tobytes(), []
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    few = min(shingle, b - a)
-                    shingles = np.full(max(1, b - a - shingle + 1), b - a if few < shingle else 0, np.uint64)
-                    for k in range(few):
-                        shingles = mix(shingles * np.uint64(31) + words[a + k : a + k + len(shingles)] + np.uint64(k))
-                    out.append((xxhash.xxh128_digest(line[8 * a : 8 * b]), *make(np.unique(shingles))))
-                columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), [pa.binary(), *kinds], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], names)
-
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    names = ["key", "digest", *[f.split()[0] for f in fields.split(", ")]]
-    return in_text_batches(rows).mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, digest binary, {fields}")
-
-
-def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, digest of the words, files, sketch): min-wise hashes of the set of word shingles.
-
-    A text of fewer words is one shingle; one without words is a shingle of its own.
-    The sketch holds 16 bits of each hash.
-    """
-    odd = np.random.default_rng(11).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    which = np.arange(SEGMENTS * SEGMENT).reshape(SEGMENTS, SEGMENT)
-    # a row for each segment and the hash that it leaves out
-    kept = np.array([np.delete(segment, gone) for segment in which for gone in range(SEGMENT)])
-
-    def make(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-        least = np.full(HASHES, np.iinfo(np.uint64).max)
-        for i in range(0, len(shingles), 1 << 10):
-            least = np.minimum(least, (shingles[i : i + (1 << 10), None] * odd).min(0))
-        least = mix(least)
-        files = np.arange(1, len(kept) + 1, dtype=np.uint64)
-        for column in kept.T:
-            files = mix(files * np.uint64(31) + least[column])
-        return files.view(np.int64), (least >> np.uint64(48)).astype("<u2").tobytes()
-
-    return _shingled(docs, key, text, shingle, make, [pa.list_(pa.int64()), pa.binary()], "files array<long>, sketch binary")
-
-
-def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, digest of the words, shingles): 32 bits of each shingle's hash, in order."""
-    make = lambda shingles: ((shingles >> np.uint64(32)).astype("<u4").tobytes(),)
-    return _shingled(docs, key, text, shingle, make, [pa.binary()], "shingles binary")
-
-
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(len(batch), -1) for c in (2, 3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(1))], ["a", "b", "alike"])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        alike = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-            both = len(np.intersect1d(a, b))
-            alike.append(both / (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.float64())], ["a", "b", "alike"])
-
-
-def _paired(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (a, b) with ``column`` of both nodes."""
-    left = of.select(F.col("node").alias("a"), F.col(column).alias("x"))
-    right = of.select(F.col("node").alias("b"), F.col(column).alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-
-
-def _apart(group: np.ndarray, sketch: np.ndarray, low: float, high: float) -> list[tuple[int, int, float]]:
-    """Links of two tiles (p, q, own tile, node, root; a row of ``sketch`` each) between members of different roots.
-
-    Above ``high`` only what joins more of them, from ``low`` on all that is still apart then.
-    """
-    (p, q), own, node, root = group[:2, 0], group[2], group[3], group[4].copy()
-    left, right = (np.arange(len(own)),) * 2 if p == q else (np.flatnonzero(own == p), np.flatnonzero(own == q))
-    found, doubt = [], []
-    for k, i in enumerate(left):
-        rest = right[k + 1 :] if p == q else right
-        rest = rest[root[rest] != root[i]]
-        if not len(rest):
-            continue
-        alike = (sketch[rest] == sketch[i]).mean(1)
-        hit = np.flatnonzero(alike > high)
-        if len(hit):
-            joined, at = np.unique(root[rest[hit]], return_index=True)
-            found += [(i, rest[j], alike[j]) for j in hit[at]]
-            root[np.isin(root, joined)] = root[i]
-        near = np.flatnonzero((alike >= low) & (alike <= high))
-        doubt.append((np.full(len(near), i), rest[near], alike[near]))
-    for i, j, alike in doubt:
-        open_ = root[i] != root[j]
-        found += zip(i[open_], j[open_], alike[open_], strict=True)
-    return [(int(max(node[i], node[j])), int(min(node[i], node[j])), float(alike)) for i, j, alike in found]
-
-
-def _tiles(low: float, high: float):
-    """``_apart`` of rows (file, p, q, own tile, node, root, sketch) that lie in order of file, p and q."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            own = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
-            sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u2").reshape(len(batch), -1)
-            if held is not None:
-                own, sketch = np.concatenate((held[0], own), axis=1), np.concatenate((held[1], sketch))
-            cuts = np.flatnonzero((np.diff(own[:3]) != 0).any(0)) + 1
-            last = cuts[-1] if len(cuts) else 0
-            held = own[:, last:], sketch[last:]  # its tiles may go on in the next batch
-            yield of_groups(own[:, :last], sketch[:last], cuts[:-1])
-        if held is not None:
-            yield of_groups(*held, np.zeros(0, np.int64))
-
-    def of_groups(own: np.ndarray, sketch: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
-        found, bounds = [], [0, *cuts.tolist(), own.shape[1]]
-        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-            if j - i > 1:
-                found += _apart(own[1:, i:j], sketch[i:j], low, high)
-        a, b, alike = zip(*found, strict=True) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.float64())], ["a", "b", "alike"])
-
-    return run
-
-
-def _left_apart(met: DataFrame, heads: DataFrame, roots: DataFrame, texts: DataFrame, low: float, high: float) -> DataFrame | None:
-    """(a, b, alike) of members that meet in a file, lead none that they share and have different roots; None without such files."""
-    rest = met.join(heads.filter("n - size(heads) > 1").drop("n"), "file").filter(~F.array_contains("heads", F.col("node")))
-    rest = rest.select("file", "node", (F.col("n") - F.size("heads")).alias("n")).join(roots, "node", "left")
-    rest = stored(rest.select("file", "node", "n", F.coalesce("root", "node").alias("root")), "rest")
-    apart = stored(rest.groupBy("file").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("file"), "apart")
-    if apart.isEmpty():
-        return None
-    tiles = F.ceil(F.col("n") / TILE)
-    rest = rest.join(small(apart), "file").withColumn("t", F.pmod(F.xxhash64("node"), tiles))
-    rest = rest.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-    rest = rest.select("file", F.least("t", "s").alias("p"), F.greatest("t", "s").alias("q"), "t", "node", "root")
-    rest = rest.join(texts.select("node", "sketch"), "node").select("file", "p", "q", "t", "node", "root", "sketch")
-    rest = rest.repartition("file", "p", "q").sortWithinPartitions("file", "p", "q")
-    found = rest.mapInArrow(_tiles(low, high), "a long, b long, alike double")
-    return stored(found.groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
-
-
-def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per row of ``docs``: key, group_id (smallest key of the group).
-
-    Groups are the components of links between texts whose sets of word shingles
-    have a Jaccard similarity of ``similarity`` or more, as 256 min-wise hashes
-    estimate it (standard deviation 0.025 at 0.8) and shingles decide within 0.1 of it. Two texts are compared if in one
-    of six segments of six hashes at least five agree (99.8 % at 0.8). In a file all
-    members first meet those that lead it: the one that meets most others, and up to
-    seven more chosen by slots. What is in one group then needs no more comparison;
-    members of different groups meet in tiles, in files of any size.
-    Equal texts are one text; texts without words are equal, null ones too.
-    Null keys and repeated rows are as in ``near_duplicates``.
-    """
-    signed = stored(signatures(docs, key, text, shingle), "signatures")
-    first = signed.groupBy("digest").agg(F.min("key").alias("first"), F.min(F.struct("sketch", "files")).alias("own"))
-    texts = stored(first.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "own.sketch", "own.files"), "texts")
-    filed = texts.select(F.explode("files").alias("file"), "node")
-    crowd = filed.groupBy("file").agg(F.count("*").alias("n")).filter("n > 1")
-    met = stored(filed.join(crowd, "file"), "files")  # what shares no file has no partner
-    # who meets most others is nearest to the middle of a family, and leads
-    middle = met.groupBy("node").agg(F.sum("n").alias("meets"))
-    slot = F.pmod(F.xxhash64("node"), F.lit(LEADERS - 1))
-    heads = met.join(middle, "node").groupBy("file").agg(
-        F.first("n").alias("n"), F.max(F.struct("meets", "node"))["node"].alias("h"), *[F.min(F.when(slot == i, F.col("node"))).alias(f"h{i}") for i in range(LEADERS - 1)]
-    )
-    heads = heads.select("file", "n", F.array_distinct(F.array_compact(F.array("h", *[f"h{i}" for i in range(LEADERS - 1)]))).alias("heads"))
-    pairs = met.join(heads.drop("n"), "file").select("node", F.explode("heads").alias("head")).filter("node != head")
-    pairs = pairs.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-    pairs = stored(_paired(pairs, texts.select("node", "sketch"), "sketch").mapInArrow(_estimated, "a long, b long, alike double"), "pairs")
-    low, high = similarity - DOUBT, similarity + DOUBT
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        doubt = pairs.filter(F.col("alike").between(low, high)).select("a", "b")
-        wanted = doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "digest"), "node")
-        sets = shingle_sets(docs, key, text, shingle).join(small(stored(wanted, "doubtful")), "digest").groupBy("node").agg(F.min("shingles").alias("shingles"))
-        counted = _paired(doubt, stored(sets, "shingles"), "shingles").mapInArrow(_counted, "a long, b long, alike double")
-        return pairs.filter(F.col("alike") > high).union(counted.filter(F.col("alike") >= similarity)).select("a", "b")
-
-    roots = components(alike(pairs))
-    more = _left_apart(met, heads, roots, texts, low, high)
-    if more is not None:
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(alike(more)))
-    linked = texts.select("node", "first").join(roots, "node").select("node", "first", "root")
-    linked = linked.union(texts.select("node", "first").join(roots.select(F.col("root").alias("node")).distinct(), "node").withColumn("root", F.col("node")))
-    linked = stored(linked, "linked")
-    names = linked.groupBy("root").agg(F.min("first").alias("group_id"))
-    linked = linked.join(names, "root").select("node", "group_id")
-    named = texts.select("node", "digest", "first").join(linked, "node", "left").select("digest", F.coalesce("group_id", "first").alias("group_id"))
-    return signed.select("key", "digest").join(named, "digest").select(F.col("key").alias(key), "group_id")
-
-
 @query("op5_simhash")
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of each document."""

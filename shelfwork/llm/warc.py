@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from .common import BROADCAST_ROWS, hash_sample, in_text_batches, query, small, stored, table
+from .common import BROADCAST_ROWS, in_text_batches, query, small, stored, table, text_sample
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 #: Bytes of an archive after which the next one begins, and read at once.
@@ -39,10 +39,10 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def trained_dictionary(pages: DataFrame, key: str = "page_id", text: str = "html", rows: int = SAMPLE_ROWS) -> bytes:
-    """A dictionary from pages with the lowest hashes of their keys; empty if they are too few."""
-    known = pages.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
-    sample = [r["text"].encode() for r in hash_sample(known, "key", rows).collect()]
+def trained_dictionary(pages: DataFrame, text: str = "html", rows: int = SAMPLE_ROWS) -> bytes:
+    """A dictionary from at most ``rows`` different pages, those with the lowest hashes; empty if they are too few."""
+    known = pages.select(F.col(text).alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
+    sample = [r["text"].encode() for r in text_sample(known, "text", rows).orderBy("digest").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY, sample, level=LEVEL).as_bytes() if len(sample) > 8 else b""
     except zstandard.ZstdError:  # too little text to train on
@@ -104,7 +104,7 @@ def write_archives(
     the smallest key of equal payloads are responses, repeated ones too; a group
     whose keys are all null has responses only. An empty table writes no archive.
     """
-    dictionary = trained_dictionary(pages, key, text) if dictionary is None else dictionary
+    dictionary = trained_dictionary(pages, text) if dictionary is None else dictionary
     rows = with_first(pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(text).alias("text")), "key", "text")
     rows = rows.select("key", "url", "text", F.when(~F.col("key").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 

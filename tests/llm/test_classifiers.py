@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from shelfwork.llm import labelled, language, quality, toxicity
+from shelfwork.llm import common, labelled, language, quality, toxicity
 
 NAMES = "doc_id long, text string, lang string, score string, label int"
 
@@ -121,3 +121,19 @@ def test_updates_lower_the_loss():
     rows = [(np.array([i % 2, 2 + r.integers(5)]), np.array([1.0, 0.5]), float(i % 2)) for i in range(400)]
     w = quality.ftrl(rows, bits=4)
     assert w[1] > 0.5 > -0.5 > w[0] and np.abs(w[2:7]).max() < 0.5
+
+
+def test_samples_are_bounded_whatever_the_keys(frame):
+    texts = [f"text number {i}" for i in range(3000)]
+    for keys in ([None] * 3000, [i % 3 for i in range(3000)], [7 if i < 2400 else i for i in range(3000)], list(range(3000))):
+        rows = [(k, t, "xx") for k, t in zip(keys, texts, strict=True)] + [(1, "hot copy", "xx")] * 3000
+        df = frame("doc_id long, text string, lang string", rows)
+        got = common.text_sample(df, "text", 400, ("lang",)).collect()
+        assert 200 < len(got) <= 400 and len({r["text"] for r in got}) == len(got)
+    few = common.text_sample(df, "text", 400, most=3000).collect()
+    assert 100 < sum(len(r["text"]) for r in few) < 6000
+    labels = frame("doc_id long, quality int", [(i, i % 2) for i in range(3000)])
+    hot = frame("doc_id long, text string", [(i % 50, t) for i, t in enumerate(texts)] + [(8, "hot copy")] * 3000)
+    got = labelled.labelled_sample(hot, labels, "quality", 4, 99, rows=400).collect()
+    assert 200 < len(got) <= 400 and all(r["label"] == r["key"] % 2 for r in got)
+    assert common.text_sample(df.limit(0), "text", 400).collect() == []

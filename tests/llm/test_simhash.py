@@ -82,84 +82,16 @@ def test_near_duplicates(frame):
 def test_empty_table(frame):
     none = frame("doc_id long, text string", [])
     assert simhash.near_duplicates(none).collect() == []
-    assert simhash.similar_texts(none).collect() == []
-
-
-def family(seed, copies, edits, size=200):
-    r = random.Random(seed)
-    base = [f"{seed}w{r.randrange(10_000)}" for _ in range(size)]
-    for _ in range(copies):
-        w = list(base)
-        for _ in range(edits):
-            w[r.randrange(size)] = f"new{r.randrange(10**9)}"
-        yield " ".join(w)
-    yield " ".join(base)
-
-
-def test_similar_texts_are_the_components_of_jaccard_links(frame):
-    texts = [t for seed, (copies, edits) in enumerate([(3, 1), (12, 2), (40, 3), (3, 25), (1, 60)]) for t in family(seed, copies, edits)]
-    texts += ["", None, "a b", "a b", "A  B", "a c", "z " * 3000]
-    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_texts(frame("doc_id long, text string, files int", [(i, t, 0) for i, t in enumerate(texts)])).collect()}
-
-    def shingles(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
-                a, b = sorted((root[i], root[j]))
-                root = [a if x == b else x for x in root]
-    assert got == dict(enumerate(root))
-
-
-def test_a_crowded_family_without_a_centre(frame):
-    """Texts of 28 blocks in two versions each: partners differ in one block, others in more, and share files with hundreds."""
-    r = random.Random(5)
-    blocks = [[" ".join(f"b{i}v{v}n{k}" for k in range(4)) for v in (0, 1)] for i in range(28)]
-    kept, codes = set(), []
-    for _ in range(4000):
-        code = sum(1 << i for i in r.sample(range(28), 3))
-        pair = {code, code ^ 1 << r.randrange(28)}
-        if not {x ^ 1 << i for x in pair for i in range(28)} & kept:
-            kept |= pair
-            codes += pair
-    words = [[w for i in range(28) for w in blocks[i][c >> i & 1].split()] for c in codes]
-    sets, root, bits = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words], list(range(len(words))), np.array(codes)
-    for i in range(len(codes)):
-        for j in np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= 4):  # more changed blocks are below 0.8
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
-                a, b = sorted((root[i], root[j]))
-                root = [a if x == b else x for x in root]
-    rows = simhash.similar_texts(frame("doc_id long, text string", [(i, " ".join(w)) for i, w in enumerate(words)])).collect()
-    got = {x["doc_id"]: x["group_id"] for x in rows}
-    assert len(codes) > 1000 and all(root[i] == root[got[i]] for i in got)  # nothing else is joined
-    assert [i for i in range(0, len(codes), 2) if got[i] != got[i + 1]] == []  # alike by 0.86
-
-
-def test_tiles_link_what_is_apart(frame):
-    """Links of the tiles join what all pairs of one file join, whatever its tiles."""
-    r = np.random.default_rng(4)
-    sketch = r.integers(0, 3, (60, 64)).astype("<u2")
-    node, low, high = np.arange(100, 160), 0.40, 0.45
-    alike = (sketch[:, None] == sketch).mean(2)
-
-    def joined(pairs):
-        root = {int(n): int(n) for n in node}
-        for a, b in pairs:
-            x, y = sorted((root[a], root[b]))
-            root = {n: x if v == y else v for n, v in root.items()}
-        return root
-
-    for tiles in (1, 3):
-        own, found = np.arange(60) % tiles, []
-        for p in range(tiles):
-            for q in range(p, tiles):
-                at = np.flatnonzero((own == p) | (own == q))
-                group = np.stack([np.full(len(at), p), np.full(len(at), q), own[at], node[at], node[at]])
-                found += simhash._apart(group, sketch[at], low, high)
-        assert all(a > b and x == alike[a - 100, b - 100] for a, b, x in found)
-        for least in (low, high + 1e-9):
-            want = [(int(node[i]), int(node[j])) for i in range(60) for j in range(i) if alike[i, j] >= least]
-            assert joined((a, b) for a, b, x in found if x >= least) == joined(want)
+    assert simhash.representatives(none).collect() == []
+
+
+def test_one_row_of_each_group_stays(frame):
+    rows = [(i, t, "x", i) for i, t in enumerate(TEXTS)] + [(None, TEXTS[0], "x", 1), (None, "alone here", "x", 2), (5, "one", "x", 3), (5, "other words", "x", 4)]
+    rows += [(None, "alone here", "x", 5)]
+    got = simhash.representatives(frame("doc_id long, text string, component_id string, key int", rows)).collect()
+    roots = brute_components(sorted({brute_print(t) for _, t, *_ in rows}))
+    best = {}
+    for at, (key, text, *_) in enumerate(rows):
+        root, rank = roots[brute_print(text)], (key is None, key or 0, at)
+        best[root] = min(best.get(root, rank), rank)
+    assert sorted([tuple(r) for r in got], key=str) == sorted([rows[at] for *_, at in best.values()], key=str)
