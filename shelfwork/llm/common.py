@@ -18,6 +18,8 @@ SQL: dict[str, str] = {}
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 #: Bytes of text in a sample that a model is fitted on.
 SAMPLE_BYTES = 256 << 20
+#: Parts of a hot key's rows in a join with what is not broadcast.
+SALTS = 32
 #: Rows with texts in an Arrow batch.
 TEXT_ROWS = 1000
 #: Bytes of text that numpy works on at once.
@@ -50,10 +52,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored ``df`` has few rows and few bytes in its files."""
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return planned <= size and df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """A stored ``df`` with a broadcast hint if its files and its rows are few, else as it is."""
-    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if planned <= size and df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if fits(df, rows, size) else df
+
+
+def salted_join(rows: DataFrame, side: DataFrame, on: list[str], spread, salts: int = SALTS, how: str = "left") -> DataFrame:
+    """``rows`` joined to a stored ``side``: broadcast if it is small, else each key of it meets ``salts`` parts of its rows.
+
+    ``spread`` is a column that differs among the rows of a hot key.
+    """
+    if fits(side):
+        return rows.join(F.broadcast(side), on, how)
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    return salted.join(side.withColumn("_salt", parts), [*on, "_salt"], how).drop("_salt")
 
 
 def hash_sample(
