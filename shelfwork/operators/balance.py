@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..scale import class_rank, draw_key, draw_marks, join_dim, tile_groups
+from ..scale import class_rank, draw_key, draw_marks, join_dim
+from .nearest import nearest_in_class
 
 ALL = "_all"
 COPIES_PER_ROW = 10_000
@@ -252,48 +253,6 @@ def drop_lowest(
 # ------------------------------------------------------------------------ SMOTE
 
 
-def nearest_in_class(
-    df: DataFrame, label: str, key: str, vector: str, k: int = 3, tile_rows: int = 2000
-) -> DataFrame:
-    """The k nearest other rows of the same class, by Euclidean distance.
-
-    Exact. A class is cut into tiles; every pair of tiles is one bounded task
-    that keeps k candidates per row, and the candidates are merged per row.
-    """
-    import numpy as np
-    import pandas as pd
-
-    key_type = dict(df.dtypes)[key]
-    tiles = tile_groups(df.select(label, key, vector), [label], key, tile_rows)
-
-    def candidates(group: pd.DataFrame) -> pd.DataFrame:
-        p, q = group["_p"].iloc[0], group["_q"].iloc[0]
-        left = group[group["_t"] == p]
-        right = group[group["_t"] == q]
-        a = np.array(left[vector].tolist(), dtype="float64").reshape(len(left), -1)
-        b = np.array(right[vector].tolist(), dtype="float64").reshape(len(right), -1)
-        out = []
-
-        def keep(x, xs, y, ys):
-            if not len(xs) or not len(ys):
-                return
-            for i, own in enumerate(xs):
-                gaps = ((y - x[i]) ** 2).sum(axis=1)
-                order = np.lexsort((ys, gaps))
-                near = [j for j in order[: k + 1] if ys[j] != own][:k]
-                out.extend((own, ys[j], float(gaps[j])) for j in near)
-
-        keep(a, left[key].to_numpy(), b, right[key].to_numpy())
-        if p != q:
-            keep(b, right[key].to_numpy(), a, left[key].to_numpy())
-        return pd.DataFrame(out, columns=[key, "neighbour", "gap"])
-
-    schema = f"{key} {key_type}, neighbour {key_type}, gap double"
-    found = tiles.groupBy(label, "_p", "_q").applyInPandas(candidates, schema)
-    nearest = F.slice(F.sort_array(F.collect_list(F.struct("gap", "neighbour"))), 1, k)
-    return found.groupBy(key).agg(nearest.alias("nearest"))
-
-
 def smote(
     df: DataFrame, label: str, key: str, vector: str, k: int = 3, seed: int = 42, tile_rows: int = 2000
 ) -> DataFrame:
@@ -306,28 +265,24 @@ def smote(
     if not kind.startswith("array<"):
         raise ValueError(f"{vector} is {kind}, SMOTE needs an array of numbers")
     rows = df.select(label, key, F.col(vector).cast("array<double>").alias(vector))
-    drawn = oversample(rows, label, key, seed)
-    synthetic = drawn.where("copy > 0")
     growing = class_counts(rows, label).withColumn("_top", F.max("n").over(W.partitionBy())).where("n < _top")
     growing_rows = join_dim(rows, growing.select(label), [label], "inner", spread_on=[key])
     near = nearest_in_class(growing_rows, label, key, vector, k, tile_rows)
+    # a row meets its neighbours before it is copied: one row may have very many copies
+    other = rows.select(F.col(key).alias("neighbour"), F.col(vector).alias("_other"))
+    near = near.select(key, F.posexplode("nearest").alias("_i", "_near")).select(key, "_i", F.col("_near.neighbour").alias("neighbour"))
+    near = near.join(other, "neighbour").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "neighbour", "_other"))).alias("_nearest"))
+    synthetic = oversample(rows.join(near, key, "left"), label, key, seed).where("copy > 0")
 
     def draw(part):
         text = F.concat(F.lit(f"{seed}|{part}|"), F.col(key).cast("string"), F.lit("|"), F.col("copy").cast("string"))
         return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
-    chosen = synthetic.join(near, key, "left").withColumn(
-        "neighbour",
-        F.get("nearest", (draw("pick") % F.greatest(F.size("nearest"), F.lit(1))).cast("int"))["neighbour"],
-    )
-    other = rows.select(F.col(key).alias("neighbour"), F.col(vector).alias("_other"))
+    chosen = synthetic.withColumn("_chosen", F.get("_nearest", (draw("pick") % F.greatest(F.size("_nearest"), F.lit(1))).cast("int")))
     share = draw("share") / F.lit(float(2**32))
-    moved = F.zip_with(vector, "_other", lambda a, b: a + F.col("_share") * (b - a))
-    made = (
-        chosen.join(other, "neighbour", "left")
-        .withColumn("_share", share)
-        .withColumn(vector, F.coalesce(moved, F.col(vector)))
-    )
+    moved = F.zip_with(vector, "_chosen._other", lambda a, b: a + F.col("_share") * (b - a))
+    made = chosen.withColumn("neighbour", F.col("_chosen.neighbour")).withColumn("_share", share)
+    made = made.withColumn(vector, F.coalesce(moved, F.col(vector)))
     originals = rows.withColumns({"copy": F.lit(0).cast("bigint"), "neighbour": F.lit(None).cast(dict(df.dtypes)[key])})
     cols = [key, label, "copy", "neighbour", vector]
     return originals.select(*cols).unionByName(made.select(*cols))

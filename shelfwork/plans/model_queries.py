@@ -49,8 +49,49 @@ def near_duplicate_lists(spark, folder):
 @query("near_duplicate_removal", f"WITH {PAIRS} SELECT vec_id, mean FROM v WHERE vec_id NOT IN (SELECT other FROM pairs)")
 def near_duplicate_removal(spark, folder):
     rows = vectors(spark, folder)
-    pairs = S.similar_vectors(rows, ["mean"], "vec_id", "embedding", 0.3)
-    return S.without_duplicates(rows.select("vec_id", "mean"), pairs, "vec_id")
+    return S.without_similar(rows, ["mean"], "vec_id", "embedding", 0.3).select("vec_id", "mean")
+
+
+def with_near_copies(spark, folder):
+    """All vectors, a slightly moved copy of every seventh and an exact copy of every tenth."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    step = lambda i: ((F.col("vec_id") * 31 + i * 17) % 21 - 10) / F.lit(500.0)
+    moved = rows.where("vec_id % 7 = 0").withColumn("embedding", F.transform("embedding", lambda x, i: x + step(i)))
+    copies = rows.where("vec_id % 10 = 3")
+    shifted = lambda df, by: df.withColumn("vec_id", F.col("vec_id") + by)
+    return rows.unionByName(shifted(moved, 1_000_000_000)).unionByName(shifted(copies, 2_000_000_000))
+
+
+NEAR = """
+    v AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+      UNION ALL SELECT vec_id + 1000000000, label, list_transform(embedding::DOUBLE[], lambda x, i: x + ((vec_id * 31 + (i - 1) * 17) % 21 - 10) / 5e2) FROM embeddings WHERE vec_id % 7 = 0
+      UNION ALL SELECT vec_id + 2000000000, label, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 10 = 3),
+    c AS (SELECT *, min(vec_id) OVER (PARTITION BY label, e) AS class_id FROM v),
+    links AS (
+      SELECT a.class_id, b.class_id AS other, round(list_cosine_similarity(a.e, b.e), 9) AS cosine
+      FROM c a JOIN c b ON a.label = b.label AND a.vec_id = a.class_id AND b.vec_id = b.class_id AND a.vec_id < b.vec_id
+      WHERE round(list_cosine_similarity(a.e, b.e), 9) > 0.95)"""
+
+
+@query("near_duplicate_links", f"WITH {NEAR} SELECT class_id, other, round(cosine, 6) AS cosine FROM links")
+def near_duplicate_links(spark, folder):
+    _, links = S.similar_classes(with_near_copies(spark, folder), ["label"], "vec_id", "embedding", 0.95)
+    return links.withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    "near_duplicate_counts",
+    f"""
+    WITH {NEAR}, n AS (SELECT class_id, count(*) AS n FROM c GROUP BY 1),
+    both_ways AS (SELECT class_id, other, 0 AS earlier FROM links UNION ALL SELECT other, class_id, 1 FROM links),
+    linked AS (SELECT b.class_id, sum(n.n)::BIGINT AS n, sum(earlier)::BIGINT AS earlier FROM both_ways b JOIN n ON n.class_id = b.other GROUP BY 1)
+    SELECT vec_id, c.class_id, coalesce(linked.n, 0) + n.n - 1 AS n_similar, coalesce(earlier, 0) + (vec_id <> c.class_id)::BIGINT AS n_earlier
+    FROM c JOIN n USING (class_id) LEFT JOIN linked ON linked.class_id = c.class_id
+    """,
+)
+def near_duplicate_counts(spark, folder):
+    return S.similar_counts(with_near_copies(spark, folder), ["label"], "vec_id", "embedding", 0.95)
 
 
 # -------------------------------------------------------------- features, models

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .session import shared_folder
+
 DIM_ROWS = 100_000
 DIM_BYTES = 64 * 1024 * 1024
 SALTS = 64
@@ -58,6 +60,13 @@ def bounded(df: DataFrame, max_rows: int = DIM_ROWS) -> DataFrame | None:
     return df.sparkSession.createDataFrame(table, df.schema)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that it is made once and its lineage ends."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_dim(
     rows: DataFrame,
     dim: DataFrame,

@@ -120,3 +120,24 @@ def test_label_orders(spark):
     df = spark.createDataFrame([(c,) for c in (10, 40, 1140, 60)], "code int")
     got = {r["code"]: (r["numeric_id"], r["text_id"]) for r in N.between_orders(df, "code").collect()}
     assert got == {10: (0, 0), 40: (1, 2), 60: (2, 3), 1140: (3, 1)}
+
+
+@pytest.mark.parametrize(("pivots", "spread"), [(12, 0.1), (5, 2.0)])
+def test_nearest_in_class_over_cells(spark, pivots, spread):
+    rnd = np.random.default_rng(1)
+    centres = rnd.normal(size=(8, 5)) * 3
+    rows = [(i, int(i % 7 == 0), (centres[i % 8] + spread * rnd.normal(size=5)).tolist()) for i in range(240)]
+    rows += [(500 + i, 0, rows[1][2]) for i in range(6)] + [(600, 2, [0.0] * 5), (601, 3, [1.0] * 5), (602, 3, [2.0] * 5), (603, 0, None), (604, 0, [float("nan")] * 5)]
+    df = spark.createDataFrame(rows, "id bigint, c int, v array<double>")
+    got = {r["id"]: [x["neighbour"] for x in r["nearest"]] for r in B.nearest_in_class(df, "c", "id", "v", 3, tile_rows=20, pivots=pivots).collect()}
+    good = [r for r in rows if r[2] and not np.isnan(r[2]).any()]
+    want = {}
+    for i, c, v in good:
+        others = sorted((((np.array(w) - np.array(v)) ** 2).sum(), j) for j, d, w in good if d == c and j != i)
+        if others:
+            want[i] = [j for _, j in others[:3]]
+    assert got == want
+
+
+def test_nearest_in_an_empty_table(spark):
+    assert B.nearest_in_class(spark.createDataFrame([], "id bigint, c int, v array<double>"), "c", "id", "v").collect() == []
