@@ -22,7 +22,7 @@ from ..scale import kept, tile_groups
 from .similar import spread_pivots
 
 #: Vectors sampled and pivots at most; they and the radii of their cells go through the driver.
-SAMPLE, PIVOTS = 2048, 512
+SAMPLE, PIVOTS = 1024, 256
 #: Comparisons that cost as much as sending a row once more.
 ROW = 1000
 #: By how much distances to pivots may be off, relative to the largest.
@@ -126,7 +126,12 @@ def nearest_in_class(
     if not rows:
         return _merged(df.sparkSession.createDataFrame([], schema), key, k)
     sample, classes = np.array([r["_v"] for r in rows]), np.array([r["class"] for r in rows])
-    chosen = _best_pivots(sample, classes, n, k, tile_rows) if pivots is None else sample[spread_pivots(sample, pivots, distances)]
+    if pivots is None and n <= tile_rows:
+        chosen = sample[:1]  # all rows fit in one tile
+    elif pivots is None:
+        chosen = _best_pivots(sample, classes, n, k, tile_rows)
+    else:
+        chosen = sample[spread_pivots(sample, pivots, distances)]
     shared = df.sparkSession.sparkContext.broadcast((sample, classes, np.array([r[key] for r in rows], dtype=object), chosen))
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +153,7 @@ def nearest_in_class(
     places = ["_label", "_cell"]
 
     def search(rows: DataFrame) -> DataFrame:
-        return tile_groups(rows, places, key, tile_rows).groupBy(*places, "_p", "_q").applyInPandas(_candidates(key, k), schema)
+        return tile_groups(rows, places, key, tile_rows, ("_asks", "_lives")).groupBy(*places, "_p", "_q").applyInPandas(_candidates(key, k), schema)
 
     first = kept(search(asking), "nearest")
     if len(chosen) == 1:

@@ -271,8 +271,7 @@ def fix_encoding(spark, folder):
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     letters = "àáâäçèéêëìíîïñòóôöùúûüßÀÁÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ¿¡«»"
     broken = T.replace_all("text", [(c, c.encode("utf-8").decode("latin-1")) for c in letters])
-    mended = task_text.fix_encoding(F.concat(F.lit("Å‚Ä™ "), broken))
-    return docs.select("doc_id", mended.alias("text"))
+    return docs.select("doc_id", F.concat(F.lit("Å‚Ä™ "), broken).alias("text")).select("doc_id", task_text.fix_encoding("text").alias("text"))
 
 
 @query("html_to_text")

@@ -208,16 +208,19 @@ def with_position(df: DataFrame, key: str, position: str = "_pos", slices: int =
     )
 
 
-def tile_groups(df: DataFrame, block: Sequence[str], key: str, tile_rows: int) -> DataFrame:
+def tile_groups(df: DataFrame, block: Sequence[str], key: str, tile_rows: int, needs: Sequence[str] = ()) -> DataFrame:
     """Spread the pairwise work of every block over bounded groups.
 
     A block of n rows becomes T = ceil(n / tile_rows) tiles. A row goes to every
     pair of tiles its own tile is part of, so any two rows of a block meet in
     exactly one group ``(block, _p, _q)`` of about two tiles. ``_t`` is the row's
-    own tile. Blocks of one row have no pairs and are left out.
+    own tile. Blocks of one row have no pairs and are left out, and so are blocks in which
+    no row has one of the marks that it ``needs``.
     """
     block = list(block)
-    sizes = df.groupBy(*block).agg(F.count("*").alias("_size")).where("_size > 1")
+    sizes = df.groupBy(*block).agg(F.count("*").alias("_size"), *[F.max(c).alias(f"_any{i}") for i, c in enumerate(needs)]).where("_size > 1")
+    for i in range(len(needs)):
+        sizes = sizes.where(f"_any{i}").drop(f"_any{i}")
     tiled = (
         join_dim(df, sizes, block, "inner", spread_on=[key], max_rows=0)  # salted: a block may hold a third of the rows
         .withColumn("_tiles", F.ceil(F.col("_size") / F.lit(tile_rows)).cast("long"))
