@@ -4,7 +4,8 @@ A piece of text is encoded by halves. The tokens of two neighbouring halves join
 by encoding a window around their border anew, which grows until its outermost
 tokens are stable beside the tokens that stay: two neighbouring tokens are stable
 if their joint bytes encode to just these two, and a row of tokens is the encoding
-of its bytes exactly if all its neighbours are. Decoding concatenates bytes.
+of its bytes exactly if all its neighbours are. Decoding concatenates neighbours up
+a tree as well.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import in_text_batches, query, table
 REMEMBERED, REMEMBERED_PARTS = 1 << 18, 1 << 16
 #: Bytes that are merged directly.
 LEAF = 6
+#: Neighbours that a node of the decoding tree joins.
+FAN = 16
 #: Windows above so many bytes are merged with a heap.
 HEAP = 48
 
@@ -152,7 +155,11 @@ class Encoder:
         return b"".join([pieces[p] if len(p) <= 64 else self._packed(p) for p in self.find(text)])
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The tokens' bytes, joined with their neighbours up a tree of FAN branches a node."""
+        parts = [self.tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]
+        while len(parts) > 1:
+            parts = [b"".join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
+        return parts[0] if parts else b""
 
 
 _encoders: dict[tuple, Encoder] = {}

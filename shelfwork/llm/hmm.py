@@ -24,8 +24,8 @@ from .common import blank_words, bucket, chunks, in_text_batches, lowered, owner
 MODULUS, HELD_OUT = 10, 0
 #: Words whose counts every task holds; words with an emission of their own; hidden states; rounds of training.
 NEAR, SYMBOLS, STATES, ROUNDS = 1 << 18, 1 << 14, 8, 4
-#: Tokens of a sequence in training (longer texts are cut, all pieces count), and of a batch.
-PIECE, BATCH = 256, 1 << 19
+#: Tokens of texts that are worked on side by side.
+BATCH = 1 << 19
 PSEUDO = 0.1
 END = np.uint64(0x5851F42D4C957F2D)  # the hash that stands for a text's end
 
@@ -243,12 +243,12 @@ def baum_welch(texts: DataFrame, model: Hmm, rounds: int = ROUNDS) -> Hmm:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = Hmm(*shared.value)
             sums = np.zeros((size + k + 1, k))
-            for held, _ in pooled(batches, 0, BATCH):
-                pieces = [h[i : i + PIECE] for h in held for i in range(0, len(h), PIECE)]
-                start, moves, emits, _ = expected(Sorted(pieces), own)
-                sums[:size] += emits
-                sums[size : size + k] += moves
-                sums[-1] += start
+            for held, _ in pooled(batches, 0, 4 * BATCH):
+                for part in alike(held):
+                    start, moves, emits, _ = expected(Sorted([held[i] for i in part]), own)
+                    sums[:size] += emits
+                    sums[size : size + k] += moves
+                    sums[-1] += start
             some = np.flatnonzero(sums.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(sums[some, s]) for s in range(k)]], ["id", *columns])
 
@@ -278,9 +278,8 @@ def likelihoods(rows: DataFrame, model: Hmm) -> DataFrame:
     return rows.select(*names, "symbols").mapInArrow(run, rows.select(*names).schema.add("log_likelihood", "double"))
 
 
-def forward_in_batches(held: list[np.ndarray], model: Hmm) -> np.ndarray:
-    """Texts of similar length together, so that few steps have few texts."""
-    out = np.empty(len(held))
+def alike(held: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Numbers of texts of similar length, BATCH tokens of them or one text, so that few steps have few texts."""
     order = np.argsort([-len(h) for h in held], kind="stable")
     i = 0
     while i < len(order):
@@ -288,8 +287,14 @@ def forward_in_batches(held: list[np.ndarray], model: Hmm) -> np.ndarray:
         while j < len(order) and (j == i or size + len(held[order[j]]) <= BATCH):
             size += len(held[order[j]])
             j += 1
-        out[order[i:j]] = forward(Sorted([held[x] for x in order[i:j]]), model)[0]
+        yield order[i:j]
         i = j
+
+
+def forward_in_batches(held: list[np.ndarray], model: Hmm) -> np.ndarray:
+    out = np.empty(len(held))
+    for part in alike(held):
+        out[part] = forward(Sorted([held[i] for i in part]), model)[0]
     return out
 
 

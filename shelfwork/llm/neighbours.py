@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import hash_sample, query, stored, table
 
 CURVES, PROJECTED, DEPTH = 4, 8, 7
-#: Vectors in a block and queries in a tile; queries that the width is measured on; rows that the scale is fitted on.
-BLOCK, TILE, MEASURED, FITTED = 4096, 2048, 64, 10_000
+#: Blocks that a curve is cut into, of so many vectors at least and at most; vectors read at once in a pass over all of them.
+BLOCKS, LEAST, MOST, READ = 128, 32, 4096, 4096
+#: Queries in a tile; queries that the width is measured on; rows that the scale is fitted on.
+TILE, MEASURED, FITTED = 2048, 64, 10_000
 RECALL = 0.95
 #: Inner products closer than this (of unit length) may be in another order until they are summed in one order.
 MARGIN = 1e-9
@@ -179,7 +181,7 @@ def best(found: DataFrame, k: int, by: str = "asking", of: str = "class") -> Dat
 
 def nearest(
     rows: DataFrame, asks, k: int, key: str = "vec_id", vector: str = "embedding", curves: int = CURVES, projected: int = PROJECTED,
-    block: int = BLOCK, tile: int = TILE, recall: float = RECALL, facts: dict | None = None,
+    block: int | None = None, tile: int = TILE, recall: float = RECALL, facts: dict | None = None,
 ) -> DataFrame:
     """(query_id, rank, id, score): for each row that ``asks`` (a condition on ``id``) its ``k`` rows of largest inner product.
 
@@ -188,7 +190,8 @@ def nearest(
     part neither ask nor answer. Rows that share an id with the query count as its
     own; if they have several vectors, each asks and the answers are merged. With
     fewer candidates than ``k`` all are returned, an empty table gives no rows.
-    Other columns are not looked at. ``facts`` receives what was measured.
+    Other columns are not looked at. ``block`` is by default what cuts a curve into
+    BLOCKS, at every size; ``facts`` receives what was measured.
     """
     facts = {} if facts is None else facts
     good = usable(rows, key, vector)
@@ -208,12 +211,14 @@ def nearest(
         F.col("class").alias("asking"), F.col("vector").alias("query")
     ), "asked")
     count, wanted = numbered.count(), asked.count()
+    block = block or min(max(count // BLOCKS, LEAST), MOST)
     places, blocks = placed(numbered, fitted(numbered, curves, projected), block)
 
     # the exact neighbours of some queries, and how far from them they lie on each curve
     some = stored(hash_sample(asked, "asking", MEASURED, "measured"), "measured")
-    first = places.filter("curve = 0").select("class", F.col("block").alias("at"))
-    everywhere = lambda q: q.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    joint = max(1, READ // block)  # neighbouring blocks are one in a pass over all of them
+    first = places.filter("curve = 0").select("class", F.floor(F.col("block") / joint).cast("int").alias("at"))
+    everywhere = lambda q: q.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // joint))))
     truth = best_of_blocks(numbered.join(first, "class"), everywhere(some), k + 1, tile, MEASURED)
     apart = (
         truth.join(places, "class").withColumnRenamed("block", "own")
