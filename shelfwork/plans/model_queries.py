@@ -276,13 +276,25 @@ def stream_clean_available_now(spark, folder):
     return incremental.process_new_files(spark, folder, "documents.parquet", schema, clean)
 
 
-@query("stream_first_arrivals", "SELECT DISTINCT user_id, event_type FROM events")
+@query(
+    "stream_first_arrivals",
+    """
+    SELECT user_id, event_type, event_id, epoch_us(ts) AS at FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1
+    """,
+)
 def stream_first_arrivals(spark, folder):
-    schema = table(spark, folder, "events").schema
-
-    def first(df):
-        timed = df.withColumn("arrived", F.col("ts").cast("timestamp"))
-        kept = incremental.drop_repeats_on_arrival(timed, "arrived", ["user_id", "event_type"], "60 days")
-        return kept.select("user_id", "event_type")
-
-    return incremental.process_new_files(spark, folder, "events.parquet", schema, first)
+    """Two deliveries with a restart between them; the second ends with a row that only moves the clock."""
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    middle = F.lit(first + (last - first) / 2)
+    source, target, state = (shared_folder(spark, n) for n in ("events", "arrivals", "arrival-state"))
+
+    def earliest(stream):
+        return incremental.first_arrivals(stream, "ts", ["user_id", "event_type"], "event_id", "1 hour")
+
+    clock = events.limit(1).select([(F.col("ts") + F.expr("INTERVAL 9999 DAYS")).alias("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in events.dtypes])
+    for delivery in (events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle).unionByName(clock)):
+        delivery.write.mode("append").parquet(source)
+        out = incremental.process_new_files(spark, source, "*.parquet", events.schema, earliest, target, state)
+    return out.select("user_id", "event_type", "event_id", F.unix_micros("ts").alias("at"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import shared_folder
 
+JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 
 def stream_files(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
     """A stream over the Parquet files of a folder whose names match the pattern."""
@@ -39,3 +44,44 @@ def process_new_files(
 def drop_repeats_on_arrival(stream: DataFrame, event_time: str, keys: Sequence[str], delay: str) -> DataFrame:
     """Keep the first row per key; keys are forgotten once they are older than the delay."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def first_arrivals(stream: DataFrame, event_time: str, keys: Sequence[str], tie: str, delay: str) -> DataFrame:
+    """The earliest row of each key, once, when the watermark has passed it; of equal times the one with the smallest ``tie``.
+
+    A row may come up to ``delay`` after later ones and still be the earliest; what
+    comes later than that is dropped. The state holds a key's earliest row so far and a
+    timer at its time; after the row is out, only a mark that the key is done. Both
+    survive a restart. Rows without time are left out; rows without a key only
+    move the watermark, so a last row with a late time and no key lets all others go.
+    """
+    names = stream.columns
+    rows = stream.where(F.col(event_time).isNotNull()).withWatermark(event_time, delay)
+    # one condition with the time in it is not moved below the watermark, which rows without a key must reach
+    known = F.array_compact(F.array(*[F.col(c).cast("string") for c in (event_time, *keys)]))
+    rows = rows.where(F.size(known) == 1 + len(keys)).withColumns(
+        {"_time": F.unix_micros(event_time), "_tie": F.col(tie), "_row": F.to_json(F.struct(*names), JSON_TIME)}
+    )
+    kind = dict(rows.dtypes)["_tie"]
+
+    def earliest(_key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            _, _, row, _ = state.get
+            state.update((0, None, None, True))
+            yield pd.DataFrame({"_row": [row]})
+            return
+        best = state.get if state.exists else None
+        for part in parts:  # read to the end even if the key is done
+            own = part.sort_values(["_time", "_tie"]).iloc[0]
+            found = (int(own["_time"]), own["_tie"].item() if hasattr(own["_tie"], "item") else own["_tie"], own["_row"], False)
+            if best is None or (not best[3] and found[:2] < best[:2]):
+                best = found
+        if best is not None and not best[3]:
+            state.update(best)
+            state.setTimeoutTimestamp(best[0] // 1000 + 1)
+
+    kept = rows.groupBy(*keys).applyInPandasWithState(
+        earliest, "_row string", f"time long, tie {kind}, row string, done boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    return kept.select(F.from_json("_row", schema, JSON_TIME).alias("_row")).select("_row.*")
