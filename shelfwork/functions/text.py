@@ -182,6 +182,34 @@ def model_text(c) -> Column:
     return F.regexp_replace(c, _flat(fixed.OUTSIDE_MODEL_TEXT), " ")
 
 
+def contraction_table(longest_first: bool = False) -> dict[str, str]:
+    straight = fixed.CONTRACTIONS
+    table = {**straight, **{k.replace("'", "’"): v for k, v in straight.items()}}
+    if longest_first:
+        table = dict(sorted(table.items(), key=lambda kv: -len(kv[0])))
+    return table
+
+
+def contraction_pattern(longest_first: bool = False) -> str:
+    """All contractions in order; no entry holds a letter with a meaning of its own in patterns."""
+    return "|".join(contraction_table(longest_first))
+
+
+def expand_contractions(c, longest_first: bool = False) -> Column:
+    """Expand English contractions in one pass; of the entries that match at a place the first in the table wins.
+
+    The text is cut at its contractions, which are looked up and put back between
+    the parts. Only texts with an apostrophe are searched, and in them only words with one.
+    """
+    c = _column(c)
+    entries = [F.lit(x) for pair in contraction_table(longest_first).items() for x in pair]
+    pattern = F.lit(f"(?=[a-zA-Z]*['’])(?:{contraction_pattern(longest_first)})")
+    found = F.transform(F.regexp_extract_all(c, pattern, F.lit(0)), lambda m: F.element_at(F.create_map(*entries), m))
+    parts = F.zip_with(F.split(c, pattern, F.lit(-1)), found, lambda part, full: F.concat(part, F.coalesce(full, F.lit(""))))
+    hit = F.contains(c, F.lit("'")) | F.contains(c, F.lit("’"))
+    return F.when(hit, F.array_join(parts, "")).otherwise(c)
+
+
 def remove_possessives(c) -> Column:
     return replace_all(c, [(p, "") for p in fixed.POSSESSIVES])
 
