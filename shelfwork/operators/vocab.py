@@ -7,13 +7,16 @@ takes the weight out of frequent words.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import log10
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..scale import by_key, join_dim
@@ -208,24 +211,79 @@ def spelling_fixes(
 # ---------------------------------------------------------------------- language
 
 
+GRAM = 3
+_LETTER = 21  # bits of a code point
+
+
+def _gram_codes(text: str) -> np.ndarray:
+    """A number for each run of GRAM characters."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    n = max(len(letters) - GRAM + 1, 0)
+    codes = np.zeros(n, np.int64)
+    for i in range(GRAM):
+        codes = codes << _LETTER | letters[i : i + n]
+    return codes
+
+
+def _gram_of(code: int) -> str:
+    return "".join(chr(code >> _LETTER * i & (1 << _LETTER) - 1) for i in reversed(range(GRAM)))
+
+
 def language_profiles(df: DataFrame, language: str, text: str, size: int = 300) -> DataFrame:
-    """The most frequent trigrams per language with their share in parts per million."""
-    grams = df.select(language, F.explode(T.char_ngrams(F.lower(F.col(text)), 3)).alias("gram"))
-    counts = grams.groupBy(language, "gram").agg(F.count("*").alias("n"))
-    # a text of n characters has n - 2 trigrams: no second pass over them
-    runs = F.greatest(F.length(F.lower(F.col(text))) - 2, F.lit(0))
-    totals = df.groupBy(language).agg(F.sum(runs).alias("total"))
-    rank = F.row_number().over(W.partitionBy(language).orderBy(F.desc("n"), "gram"))
-    top = counts.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")
-    share = F.floor(F.col("n") * 1_000_000 / F.col("total")).cast("bigint")
-    return join_dim(top, totals, [language], "inner").select(language, "gram", share.alias("share"))
+    """The most frequent trigrams per language with their share in parts per million.
+
+    Texts are read once: trigrams are counted where they are read, and what is summed
+    is one row for each trigram of a language and part of a batch.
+    """
+    rows = df.select(F.col(language).alias("language"), F.lower(F.col(text)).alias("text")).where("text IS NOT NULL")
+    kind = rows.schema["language"].dataType.simpleString()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            of, texts = names.indices.fill_null(len(names.dictionary)).to_numpy(), batch.column(1).to_pylist()
+            for i in np.unique(of):
+                codes = [_gram_codes(texts[r]) for r in np.flatnonzero(of == i)]
+                found, n = np.unique(np.concatenate(codes), return_counts=True)
+                name = pa.array([names.dictionary[int(i)].as_py() if i < len(names.dictionary) else None] * len(found), batch.column(0).type)
+                grams = pa.array([_gram_of(c) for c in found.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([name, grams, pa.array(n.astype(np.int64))], ["language", "gram", "n"])
+
+    counts = rows.mapInArrow(counted, f"language {kind}, gram string, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    whole = W.partitionBy("language")
+    counts = counts.withColumn("_total", F.sum("n").over(whole))
+    rank = F.row_number().over(whole.orderBy(F.desc("n"), "gram"))
+    share = F.floor(F.col("n") * 1_000_000 / F.col("_total")).cast("bigint")
+    return counts.withColumn("_rank", rank).where(F.col("_rank") <= size).select(F.col("language").alias(language), "gram", share.alias("share"))
 
 
 def detect_language(df: DataFrame, key: str, text: str, profiles: DataFrame, language: str) -> DataFrame:
-    """The language whose profile weighs a text's trigrams highest, ties by name."""
-    grams = df.select(key, F.explode(T.char_ngrams(F.lower(F.col(text)), 3)).alias("gram"))
-    scored = join_dim(grams, profiles.withColumnRenamed(language, "_language"), ["gram"], "inner")
-    sums = scored.groupBy(key, "_language").agg(F.sum("share").alias("score"))
-    best = F.min(F.struct((-F.col("score")).alias("m"), F.col("_language"))).alias("b")
-    found = sums.groupBy(key).agg(best)
-    return df.select(key).join(found, key, "left").select(key, F.col("b._language").alias("detected"))
+    """The language whose profile weighs a text's trigrams highest, ties by name; null without a known trigram.
+
+    Profiles are a fixed number of rows for each language, so every task holds them;
+    texts are scored where they are, one row each, without a shuffle.
+    """
+    known = profiles.dropna().orderBy(language, "gram").collect()
+    names = sorted({r[language] for r in known})
+    codes = np.array(sorted({int(_gram_codes(r["gram"])[0]) for r in known}), np.int64)
+    shares = np.zeros((len(codes) + 1, max(len(names), 1)), np.int64)
+    for r in known:
+        shares[np.searchsorted(codes, _gram_codes(r["gram"])[0]), names.index(r[language])] = r["share"]
+    shared = df.sparkSession.sparkContext.broadcast((names, codes, shares))
+    rows = df.select(key, F.lower(F.col(text)).alias("_text"))
+    kind, named = rows.schema[key].dataType.simpleString(), profiles.schema[language].dataType
+    kinds = to_arrow_type(named)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, grams, weights = shared.value
+        for batch in batches:
+            out = []
+            for value in batch.column(1).to_pylist():
+                found = _gram_codes(value or "")
+                at = np.searchsorted(grams, found)
+                at = at[at < len(grams)] if not len(grams) else at[(at < len(grams)) & (grams[np.minimum(at, len(grams) - 1)] == found)]
+                total = weights[at].sum(axis=0)
+                out.append(own[int(total.argmax())] if len(at) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kinds)], [key, "detected"])
+
+    return rows.mapInArrow(scored, f"`{key}` {kind}, detected {named.simpleString()}")
