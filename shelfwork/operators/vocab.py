@@ -13,13 +13,14 @@ from math import log10
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from ..scale import by_key, join_dim
+from ..scale import by_key, join_dim, kept
 
 OOV = "<OOV>"
 OOV_ID = 1
@@ -108,33 +109,103 @@ def top_terms(df: DataFrame, label: str, text: str, k: int = 20, tokens=T.vocabu
 # ------------------------------------------------------------------ glued words
 
 
-def word_splits(tokens: DataFrame, counts: DataFrame, head: int = 24) -> DataFrame:
+#: Most frequent terms that every task holds; bits of a Bloom filter at most, and for each of its entries.
+KNOWN, BITS, BITS_EACH = 100_000, 1 << 29, 16
+BITMAP = 1 << 15  # bits in a row of Spark's bitmap functions
+_LOW = 0xFFFFFFFF
+
+
+def bloom(df: DataFrame, column: str, entries: int) -> np.ndarray:
+    """A Bloom filter of a column's values, as bits: made in Spark from partial bitmaps, BITS in size at most.
+
+    Its size goes with ``entries``, rounded up to a power of two; beyond BITS it only lets more through.
+    """
+    size = max(BITMAP, min(BITS, 1 << max(BITS_EACH * entries - 1, 1).bit_length()))
+    h = F.xxhash64(column)
+    low, high = h.bitwiseAND(_LOW), F.shiftrightunsigned(h, 32)
+    places = F.explode(F.array(*[(low + i * high) % size for i in range(4)]))
+    rows = df.select(places.alias("place")).groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("bucket"))
+    bits = np.zeros(size >> 3, np.uint8)
+    for r in rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bits")).toLocalIterator():
+        start = (r["bucket"] - 1) * (BITMAP >> 3)
+        bits[start : start + (BITMAP >> 3)] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bits
+
+
+def may_hold(bits: np.ndarray | bytes, value: str) -> bool:
+    """Whether the filter may hold the value; never false for one that it holds."""
+    h = xxhash.xxh64_intdigest(value.encode(), 42)  # as Spark's xxhash64
+    low, high, mask = h & _LOW, h >> 32, 8 * len(bits) - 1
+    for i in range(4):
+        place = (low + i * high) & mask
+        if not bits[place >> 3] >> (place & 7) & 1:
+            return False
+    return True
+
+
+def word_splits(tokens: DataFrame, counts: DataFrame, head: int = 24, known_terms: int = KNOWN) -> DataFrame:
     """(token, split) of the distinct tokens that fall into several likely words.
 
-    ``counts`` (term, n) may be of any size: the substrings of the tokens meet it in
-    a join, and only what is known comes back to the token. Terms longer than
-    ``head`` letters meet by their first ones and are then compared whole. A token is
-    split into the pieces of the highest joint probability; unknown pieces of n
-    letters count as 10 / (total * 10 ** n).
+    ``counts`` (term, n) may be of any size. Tasks hold the ``known_terms`` most
+    frequent terms and a Bloom filter of all others: a substring of a token is sent to
+    the others only if the filter may hold it, and only what is known comes back to the token.
+    Terms longer than ``head`` letters meet by their first ones and are then compared
+    whole. A token is split into the pieces of the highest joint probability;
+    unknown pieces of n letters count as 10 / (total * 10 ** n).
     """
-    starts = F.explode(F.sequence(F.lit(0), F.length("token") - 1)).alias("start")
-    ends = F.explode(F.sequence(F.lit(1), F.least(F.lit(head), F.length("token") - F.col("start")))).alias("size")
+    counts = kept(counts.where(F.length("term") > 0), "terms")
+    size, total = counts.agg(F.count("*"), F.sum("n")).first()
+    top = counts.orderBy(F.desc("n"), "term").limit(known_terms).collect() if known_terms else []
     distinct = tokens.select("token").where(F.length("token") > 0).distinct()
-    pieces = distinct.select("token", starts).select("token", "start", ends)
-    pieces = pieces.withColumn("term", F.substring("token", F.col("start") + 1, F.col("size")))
-    long = F.length("term") > head
-    begun = counts.select(F.substring("term", 1, head).alias("term"), F.when(long, F.col("term")).alias("whole"), "n")
-    whole = F.col("whole").isNull() | (F.substring("token", F.col("start") + 1, F.length("whole")) == F.col("whole"))
-    size = F.coalesce(F.length("whole"), "size").alias("size")
-    known = pieces.join(begun, "term").where(whole).groupBy("token").agg(F.collect_list(F.struct("start", size, "n")).alias("known"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    rows = distinct.join(known, "token", "left").join(F.broadcast(total))  # one row
+    start_of = lambda term: F.substring(term, 1, head)
+    rest = None
+    if size > len(top):
+        after = F.lit(True)
+        if top:
+            after = (F.col("n") < top[-1]["n"]) | ((F.col("n") == top[-1]["n"]) & (F.col("term") > top[-1]["term"]))
+        rest = counts.where(after).withColumn("begun", start_of("term"))
+    bits = None if rest is None else bloom(rest, "begun", size - len(top)).tobytes()
+    shared = tokens.sparkSession.sparkContext.broadcast(([(r["term"], r["n"]) for r in top], bits))
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, own = shared.value
+        short = {t: n for t, n in terms if len(t) <= head}
+        long: dict[str, list] = {}
+        for t, n in terms:
+            if len(t) > head:
+                long.setdefault(t[:head], []).append((t, n))
+        for batch in batches:
+            found, open_ = [], []
+            for token in batch.column(0).to_pylist():
+                pieces, sent = [], []
+                for start in range(len(token)):
+                    for end in range(start + 1, min(start + head, len(token)) + 1):
+                        piece = token[start:end]
+                        if piece in short:
+                            pieces.append({"start": start, "size": end - start, "n": short[piece]})
+                        for t, n in long.get(piece, ()):
+                            if token.startswith(t, start):
+                                pieces.append({"start": start, "size": len(t), "n": n})
+                        if own is not None and (piece not in short or end - start == head) and may_hold(own, piece):
+                            sent.append({"start": start, "begun": piece})
+                found.append(pieces)
+                open_.append(sent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kinds[0])), pa.array(open_, pa.list_(kinds[1]))], ["token", "known", "sent"])
+
+    kinds = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("n", pa.int64())]), pa.struct([("start", pa.int32()), ("begun", pa.string())])
+    rows = distinct.mapInArrow(looked_up, "token string, known array<struct<start:int,size:int,n:long>>, sent array<struct<start:int,begun:string>>")
+    if rest is not None:
+        rows = kept(rows, "tokens")
+        sent = rows.select("token", F.explode("sent").alias("s")).select("token", "s.start", "s.begun")
+        met = sent.join(rest, "begun").where(F.substring("token", F.col("start") + 1, F.length("term")) == F.col("term"))
+        met = met.groupBy("token").agg(F.collect_list(F.struct("start", F.length("term").alias("size"), F.col("n").cast("long").alias("n"))).alias("more"))
+        rows = rows.join(met, "token", "left").withColumn("known", F.concat("known", F.coalesce("more", F.array().cast("array<struct<start:int,size:int,n:bigint>>"))))
 
     @F.pandas_udf("string")
-    def split(token: pd.Series, known: pd.Series, total: pd.Series) -> pd.Series:
-        return pd.Series([best_split(t, k if k is not None else (), n) for t, k, n in zip(token, known, total, strict=True)])
+    def split(token: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([best_split(t, k, total) for t, k in zip(token, known, strict=True)])
 
-    return rows.select("token", split("token", "known", "total").alias("split")).where("split != token")
+    return rows.select("token", split("token", "known").alias("split")).where("split != token")
 
 
 def best_split(token: str, known, total: float) -> str:
@@ -156,20 +227,41 @@ def best_split(token: str, known, total: float) -> str:
     return " ".join(reversed(pieces))
 
 
-def split_glued_words(df: DataFrame, key: str, text: str, counts: DataFrame, head: int = 24) -> DataFrame:
+def split_glued_words(df: DataFrame, key: str, text: str, counts: DataFrame, head: int = 24, known_terms: int = KNOWN) -> DataFrame:
     """``text`` with its glued words split, words of letters in lower case, white space as one blank.
 
-    Every distinct word is split once; the others are joined back by word.
+    Every distinct word is split once. Texts are not taken apart: a filter of
+    the words that fall apart tells which of a text's words are worth asking for, and
+    only these, once for each key, travel.
     """
-    words = df.select(key, F.posexplode(T.words(text)).alias("pos", "word"))
-    letters = F.col("word").rlike("^\\p{L}+$")
-    words = words.withColumn("token", F.when(letters, F.lower("word")))
-    splits = word_splits(words.where(F.col("token").isNotNull()), counts, head)
-    named = join_dim(words, splits, ["token"], "left", spread_on=["pos"])
-    line = F.struct("pos", F.coalesce("split", "token", "word").alias("w"))
-    lines = named.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(line))["w"], " ").alias("_line"))
-    joined = df.join(lines, key, "left")
-    return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.coalesce("_line", F.lit("")))).drop("_line")
+    letters = lambda w: w.rlike("^\\p{L}+$")
+    plain = F.transform(T.words(text), lambda w: F.when(letters(w), F.lower(w)).otherwise(w))
+    tokens = F.array_distinct(F.transform(F.filter(T.words(text), letters), F.lower))
+    splits = kept(word_splits(df.select(F.explode(tokens).alias("token")), counts, head, known_terms), "splits")
+    shared = df.sparkSession.sparkContext.broadcast(bloom(splits, "token", splits.count()).tobytes())
+    kind = dict(df.dtypes)[key]
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r, w) for r, words in enumerate(batch.column(1).to_pylist()) for w in words or () if may_hold(shared.value, w)]
+            at = pa.array([r for r, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([w for _, w in rows], pa.string())], ["_key", "token"])
+
+    hits = df.select(F.col(key).alias("_key"), tokens.alias("tokens")).mapInArrow(asked, f"_key {kind}, token string").distinct()
+    maps = join_dim(hits, splits, ["token"], "inner", spread_on=["_key"]).groupBy("_key").agg(
+        F.sort_array(F.collect_list(F.struct("token", "split"))).alias("_splits")
+    )
+    joined = df.join(maps, df[key].eqNullSafe(maps["_key"]), "left")
+
+    @F.pandas_udf("string")
+    def spelt(words: pd.Series, pairs: pd.Series) -> pd.Series:
+        out = []
+        for own, known in zip(words, pairs, strict=True):
+            table = {p["token"]: p["split"] for p in known} if known is not None else {}
+            out.append(None if own is None else " ".join([table.get(w, w) for w in own]))
+        return pd.Series(out, dtype=object)
+
+    return joined.withColumn(text, spelt(plain, "_splits")).select(*df.columns)
 
 
 # ---------------------------------------------------------------------- spelling

@@ -196,6 +196,47 @@ def split_glued_words(spark, folder):
     return V.split_glued_words(rows, "doc_id", "text", unigrams(rows))
 
 
+# The best split of every name with its blanks taken out, letter by letter: the state holds the
+# best score and the start of the last piece for each end, and where an unknown piece starts best.
+SPLITS = """
+    WITH RECURSIVE terms AS (SELECT unnest(string_split(lower(p_name), ' ')) AS term FROM part),
+    c AS (SELECT term, count(*) AS n FROM terms WHERE regexp_full_match(term, '[a-z]+') GROUP BY 1),
+    total AS (SELECT sum(n)::DOUBLE AS t FROM c),
+    tokens AS (SELECT DISTINCT regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS token FROM part),
+    places AS (SELECT token, unnest(range(0, length(token))) AS s FROM tokens),
+    known AS (
+      SELECT token, s + length(term) AS e, list({'x': log10(n / t), 's': s}) AS k
+      FROM places JOIN c ON substr(token, s + 1, length(term)) = term, total GROUP BY 1, 2),
+    dp AS (
+      SELECT token, 0 AS e, [0.0::DOUBLE] AS best, [0] AS starts, {'x': 0.0::DOUBLE, 's': 0} AS free FROM tokens
+      UNION ALL
+      SELECT token, e, list_append(best, top.x), list_append(starts, -top.s),
+        list_sort([free, {'x': top.x + e, 's': -e}], 'DESC')[1] FROM (
+        SELECT dp.token, dp.e + 1 AS e, best, starts, free,
+          list_sort(list_concat([{'x': free.x + log10(10.0::DOUBLE / t) - (dp.e + 1), 's': free.s}],
+            list_transform(coalesce(k, []), lambda o: {'x': best[o.s + 1] + o.x, 's': (-o.s)::INT})), 'DESC')[1] AS top
+        FROM dp CROSS JOIN total LEFT JOIN known ON known.token = dp.token AND known.e = dp.e + 1 WHERE dp.e < length(dp.token))),
+    back AS (
+      SELECT token, starts, length(token) AS e, '' AS split FROM dp WHERE e = length(token)
+      UNION ALL
+      SELECT token, starts, starts[e + 1], substr(token, starts[e + 1] + 1, e - starts[e + 1]) || CASE WHEN split = '' THEN '' ELSE ' ' || split END FROM back WHERE e > 0)
+    """
+
+
+@query(
+    "split_glued_names",
+    SPLITS + """
+    SELECT p_partkey, split AS name FROM part JOIN back ON token = regexp_replace(lower(p_name), '[^a-z]', '', 'g') WHERE e = 0
+    """,
+)
+def split_glued_names(spark, folder):
+    """Names with their blanks taken out, split again."""
+    part = table(spark, folder, "part")
+    counts = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("term")).where(F.col("term").rlike("^[a-z]+$")).groupBy("term").agg(F.count("*").alias("n"))
+    glued = part.select("p_partkey", F.regexp_replace(F.lower("p_name"), "[^a-z]", "").alias("name"))
+    return V.split_glued_words(glued, "p_partkey", "name", counts, known_terms=20)  # the others go through the filter and the join
+
+
 @query("baseline_text_chain")
 def baseline_text_chain(spark, folder):
     rows = docs(spark, folder)

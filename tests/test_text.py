@@ -1,5 +1,6 @@
 import html
 import math
+import random
 import re
 import unicodedata
 
@@ -194,6 +195,28 @@ def test_long_words_are_words_too(spark):
     assert got == [long, f"red {long}", f"{long} red", f"{long[:24]} {long[24:30]}", f"red {'q' * 40}"]
 
 
+@pytest.mark.parametrize("known", [0, 2, 100])
+def test_glued_words_through_the_filter(spark, known):
+    r = random.Random(6)
+    counts = {"".join(r.choice("abcdé") for _ in range(r.randint(1, 5))): r.randint(1, 99) for _ in range(60)} | {"a" * 30: 400}
+    table = spark.createDataFrame(list(counts.items()), "term string, n long")
+    words = ["".join(r.choice(list(counts)) for _ in range(r.randint(1, 4))) for _ in range(40)] + ["zz" + "a" * 30 + "b", "q"]
+    rows = [(i, " ".join(r.choices(words, k=9)) + " x1!") for i in range(30)] + [(None, words[0]), (3, words[1]), (40, None), (41, "")]
+    got = V.split_glued_words(spark.createDataFrame(rows, "id int, t string"), "id", "t", table, known_terms=known).collect()
+    total, pieces = sum(counts.values()), {}
+    for w in words:
+        own = [{"start": i, "size": len(t), "n": n} for t, n in counts.items() for i in range(len(w)) if w.startswith(t, i)]
+        pieces[w] = V.best_split(w, own, total)
+    want = [(k, t and " ".join(pieces.get(w, w) for w in t.split(" "))) for k, t in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_the_filter_holds_what_it_was_made_of(spark):
+    terms = [f"té{i}" for i in range(3000)] + ["", "\U0001f600"]
+    bits = V.bloom(spark.createDataFrame([(t,) for t in terms], "t string"), "t", len(terms)).tobytes()
+    assert all(V.may_hold(bits, t) for t in terms) and sum(V.may_hold(bits, f"other{i}") for i in range(3000)) < 60
+
+
 def test_best_split_is_the_best_of_all(spark):
     counts = {"a": 5, "ab": 9, "b": 2, "ba": 4, "aba": 1}
     known = lambda t: [{"start": i, "size": j - i, "n": counts[t[i:j]]} for i in range(len(t)) for j in range(i + 1, len(t) + 1) if t[i:j] in counts]
