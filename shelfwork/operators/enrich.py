@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import text as T
-from ..scale import with_position
+from ..scale import by_own_key, with_position
 from .columns import output_column
 
 KINDS = ("batch", "row")
@@ -56,9 +56,12 @@ def length_class(text: str) -> tuple[Column, Column]:
 
 
 def with_batches(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Even batches inside every chunk and length class, and the number of a row in its batch."""
+    """Even batches inside every chunk and length class, and the number of a row in its batch.
+
+    Keys and lengths are numbered; the texts meet their numbers by key.
+    """
     name, size = length_class(text)
-    sized = df.withColumns({"length_class": name, "batch_size": size})
+    sized = df.select(key, "chunk", name.alias("length_class"), size.alias("batch_size"))
     group = W.partitionBy("chunk", "length_class")  # a chunk has at most two chunk sizes of rows
     place = F.row_number().over(group.orderBy(key)) - 1
     rows = F.count("*").over(group)
@@ -66,7 +69,7 @@ def with_batches(df: DataFrame, key: str, text: str) -> DataFrame:
     batches = F.ceil(F.col("_rows") / F.col("batch_size"))
     batched = placed.withColumn("batch", balanced_chunk(F.col("_place"), F.col("_rows"), batches))
     number = F.row_number().over(W.partitionBy("chunk", "length_class", "batch").orderBy(key))
-    return batched.withColumn("number", number).drop("_place", "_rows", "batch_size")
+    return by_own_key(df, batched.withColumn("number", number).drop("_place", "_rows", "batch_size", "chunk"), key)
 
 
 def batch_prompts(batched: DataFrame, text: str) -> DataFrame:

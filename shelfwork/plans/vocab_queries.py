@@ -279,6 +279,11 @@ def fixed_batches(spark, folder):
     return L.fixed_batches(table(spark, folder, "documents").select("doc_id"), "doc_id", 10)
 
 
+@query("fixed_batches_by_name", "SELECT c_name, (row_number() OVER (ORDER BY c_name) - 1) // 10 AS batch FROM customer")
+def fixed_batches_by_name(spark, folder):
+    return L.fixed_batches(table(spark, folder, "customer").select("c_name"), "c_name", 10)
+
+
 def batched(spark, folder):
     rows = table(spark, folder, "documents").select("doc_id", "text")
     return L.with_batches(L.with_chunks(rows, "doc_id"), "doc_id", "text")

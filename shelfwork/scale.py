@@ -174,38 +174,35 @@ def class_rank(
     )
 
 
-def _range_slice(key: str, bounds: list) -> Column:
-    """Index of the range a key falls into, as a balanced tree of comparisons."""
+#: Keys in a range that is sorted and numbered on its own, about.
+RANGE_ROWS = 1_000_000
 
-    def tree(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        middle = (low + high) // 2
-        return f"CASE WHEN `{key}` <= {bounds[middle]} THEN {tree(low, middle)} ELSE {tree(middle + 1, high)} END"
 
-    return F.expr(tree(0, len(bounds)))
+def positions(keys: DataFrame, key: str, position: str = "_pos", slices: int | None = None) -> DataFrame:
+    """(key, position): the 0-based place of each key in their order, null first; keys of any sortable type.
 
+    Ranges of keys, as many as the rows call for, are sorted and numbered on
+    their own and shifted by the counts of the ranges before them.
+    """
+    spark = keys.sparkSession
+    ranges = slices or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // RANGE_ROWS))
+    dealt = keys.select(key).repartitionByRange(ranges, key).sortWithinPartitions(key)
+    dealt = kept(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "positions")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    shifts = counts.select("_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return dealt.join(F.broadcast(shifts), "_range").select(key, (F.col("_at") + F.col("_shift")).alias(position))
 
-def with_position(df: DataFrame, key: str, position: str = "_pos", slices: int = 256) -> DataFrame:
-    """Add the 0-based position of a row in the order of a unique integer key.
 
-    Approximate quantiles cut the key range into even slices; each slice is
-    numbered on its own and shifted by the counts of the slices before it.
-    """
-    shares = [i / slices for i in range(1, slices)]
-    quantiles = df.agg(F.percentile_approx(key, shares, 10_000).alias("b")).first()["b"]
-    bounds = sorted(set(quantiles or []))
-    sliced = df.withColumn("_slice", _range_slice(key, bounds))
-    counts = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # at most `slices` rows
-    offsets = counts.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inner = F.row_number().over(W.partitionBy("_slice").orderBy(key)) - 1
-    return (
-        sliced.withColumn("_inner", inner)
-        .join(F.broadcast(offsets), "_slice")  # one row per slice, at most `slices`
-        .withColumn(position, F.col("_offset") + F.col("_inner"))
-        .drop("_slice", "_inner", "_offset")
-    )
+def by_own_key(df: DataFrame, made: DataFrame, key: str) -> DataFrame:
+    """``df`` with the other columns of ``made``, which has one row for each of its unique keys, null too."""
+    made = made.withColumnRenamed(key, "_of")
+    return df.join(made, df[key].eqNullSafe(made["_of"])).drop("_of")
+
+
+def with_position(df: DataFrame, key: str, position: str = "_pos", slices: int | None = None) -> DataFrame:
+    """Add the 0-based position of a row in the order of a unique key; only keys are sorted and numbered."""
+    return by_own_key(df, positions(df.select(key), key, position, slices), key)
 
 
 def tile_groups(df: DataFrame, block: Sequence[str], key: str, tile_rows: int, needs: Sequence[str] = ()) -> DataFrame:

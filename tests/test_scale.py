@@ -53,6 +53,12 @@ def test_with_position(spark, keys):
     assert got == {k: i for i, k in enumerate(sorted(keys))}
 
 
+def test_positions_of_text_keys(spark):
+    names = [f"ключ {i * 37 % 101}" for i in range(101)] + ["", None]
+    got = {r["k"]: r["p"] for r in scale.with_position(spark.createDataFrame([(n, "x") for n in names], "k string, t string"), "k", "p", 7).collect()}
+    assert got == {n: i for i, n in enumerate([None, *sorted(n for n in names if n is not None)])}
+
+
 def test_every_pair_meets_once(spark):
     df = spark.createDataFrame([(i, i % 7 == 0) for i in range(140)], "id bigint, b boolean")
     groups = scale.tile_groups(df, ["b"], "id", 13).collect()
