@@ -71,9 +71,31 @@ def file_index(listing: DataFrame, root_depth: int | None = None) -> DataFrame:
     return listing.groupBy("file").agg(F.max("path").alias("path"))
 
 
+def images_with_status(spark: SparkSession, root: str, wanted: DataFrame | None = None, path: str = "path") -> DataFrame:
+    """A row for each image file below ``root``, or for each row of ``wanted``: path, image, status.
+
+    ``status`` is ok, undecodable (the file is there, its content is no picture), not_found
+    or missing_path (of wanted rows); only ok rows have an image. Files of no bytes are not listed by Spark's
+    readers: they have no row, and a wanted one is not_found.
+    """
+    files = spark.read.format("image").options(recursiveFileLookup=True, dropInvalid=False).load(root)
+    files = files.where(F.col("image.origin").rlike(IMAGE_FILES))
+    decoded = F.col("image.height") > 0
+    found = files.select(
+        F.col("image.origin").alias("_origin"), F.when(decoded, F.col("image")).alias("image"), F.when(decoded, "ok").otherwise("undecodable").alias("_found")
+    )
+    if wanted is None:
+        return found.select(F.col("_origin").alias(path), "image", F.col("_found").alias("status"))
+    # a path may be given with or without its scheme
+    bare = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/+", "/")
+    joined = wanted.withColumn("_bare", bare(F.col(path))).join(found.withColumn("_bare", bare(F.col("_origin"))), "_bare", "left")
+    status = F.when(F.col(path).isNull(), "missing_path").otherwise(F.coalesce("_found", F.lit("not_found")))
+    return joined.withColumn("status", status).drop("_bare", "_origin", "_found")
+
+
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded images (BGR) with file name and class folder."""
-    images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root)
+    """Decoded images (BGR) with file name and class folder; ``images_with_status`` has those that fail too."""
+    images = images_with_status(spark, root).where("status = 'ok'").select("image")
     return images.withColumns({"file": path_part("image.origin", -1), "label": path_part("image.origin", -2)})
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import upsert_latest
+from ..scale import kept
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False, mode: str = "overwrite") -> None:
@@ -40,6 +45,31 @@ def write_images(images: DataFrame, path: str, label: str = "prdtypecode") -> No
     images.write.mode("overwrite").partitionBy(label).parquet(path)
 
 
+def write_files(files: DataFrame, root: str, path: str, content: str) -> DataFrame:
+    """One file for each row, at ``path`` below ``root``, written by the tasks; returns (path, bytes) of what is there now.
+
+    ``root`` is a folder that all executors reach, as a path or an address that Arrow's
+    file systems know. A repeated task writes the same files again; rows with nulls write none.
+    """
+    address = root if "://" in root or root.startswith("file:") else f"file://{root}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = FileSystem.from_uri(address.replace("file:/", "file:///", 1) if re.match("file:/[^/]", address) else address)
+        made = set()
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{folder}/{name}"
+                if (above := target.rpartition("/")[0]) not in made:
+                    system.create_dir(above)
+                    made.add(above)
+                with system.open_output_stream(target) as out:
+                    out.write(data)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(batch.column(1)).cast(pa.int64())], ["path", "bytes"])
+
+    rows = files.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content")).dropna()
+    return kept(rows.mapInArrow(run, "path string, bytes long"), "files")
+
+
 def write_submission(df: DataFrame, path: str, key: str = "row_id", code: str = "prdtypecode") -> None:
     write_csv(df.select(key, code), path)
 
