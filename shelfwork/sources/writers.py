@@ -78,27 +78,64 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def store_results(spark: SparkSession, root: str, new: DataFrame, key: str, version: str) -> DataFrame:
-    """Keyed result store: the stored and the new results, latest per key.
+#: Hash buckets of a result store.
+BUCKETS = 64
 
-    Every write is a new numbered folder, so a failed write leaves the last one
-    intact and no table is overwritten while it is read.
-    """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+
+def _manifest(spark: SparkSession, root: str) -> tuple[int, dict[int, str]]:
+    """The newest finished version of a store and the folder of each bucket in it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = []
+    done = [0]
     if fs.exists(folder):
         for status in fs.listStatus(folder):
             name = status.getPath().getName()
-            marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("v") and name[1:].isdigit() and fs.exists(marker):
+            if name.startswith("v") and name[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
                 done.append(int(name[1:]))
-    rows = new
-    if done:
-        rows = upsert_latest(spark.read.parquet(f"{root}/v{max(done)}"), new, key, version)
-    target = f"{root}/v{max(done, default=0) + 1}"
-    rows.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    version = max(done)
+    if not version:
+        return 0, {}
+    rows = spark.read.schema("bucket int, folder string").json(f"{root}/manifest/v{version}").collect()  # a row for each bucket
+    return version, {r["bucket"]: r["folder"] for r in rows}
+
+
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def read_results(spark: SparkSession, root: str, schema, keys: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """The newest finished version of a result store; with ``keys`` only their buckets are read, and only their rows kept."""
+    _, folders = _manifest(spark, root)
+    if keys is not None:
+        wanted = {r[0] for r in keys.select(_bucket(key)).distinct().collect()}  # at most BUCKETS numbers
+        folders = {b: f for b, f in folders.items() if b in wanted}
+    if not folders:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*[f"{root}/{f}" for f in folders.values()])
+    return rows if keys is None else rows.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def store_results(spark: SparkSession, root: str, new: DataFrame, key: str, version: str) -> DataFrame:
+    """Keyed result store: the stored and the new results, latest per key.
+
+    Keys are hashed into buckets. A write reads and writes only the buckets that its
+    keys lie in, into a new folder, and then commits a manifest that names the folder of
+    each bucket; so a failed write leaves the last version intact, no table is
+    overwritten while it is read, and the rest of the store is not touched.
+    """
+    schema = new.schema
+    last, folders = _manifest(spark, root)
+    new = kept(new, "results")
+    touched = sorted(r[0] for r in new.select(_bucket(key)).distinct().collect())  # at most BUCKETS numbers
+    old = [f"{root}/{folders[b]}" for b in touched if b in folders]
+    rows = upsert_latest(spark.read.schema(schema).parquet(*old) if old else spark.createDataFrame([], schema), new, key, version)
+    target = f"data/v{last + 1}"
+    bucketed = rows.withColumn("store_bucket", _bucket(key)).repartition("store_bucket")
+    bucketed.write.mode("overwrite").partitionBy("store_bucket").parquet(f"{root}/{target}")
+    folders |= {b: f"{target}/store_bucket={b}" for b in touched}
+    named = spark.createDataFrame(sorted(folders.items()), "bucket int, folder string").coalesce(1)
+    named.write.mode("overwrite").json(f"{root}/manifest/v{last + 1}")
+    return read_results(spark, root, schema)
 
 
 def sink_counts(df: DataFrame, status: str = "status") -> DataFrame:

@@ -90,6 +90,24 @@ def test_store_keeps_latest(spark, tmp_path):
     assert {r["model"]: r["acc"] for r in out.collect()} == {"a": 0.7, "b": 0.6}
 
 
+def test_a_write_touches_its_buckets_only(spark, tmp_path):
+    root, schema = str(tmp_path / "store"), "model string, at int, acc double"
+    many = spark.createDataFrame([(f"m{i}", 1, float(i)) for i in range(500)] + [(None, 1, 0.5)], schema)
+    assert writers.store_results(spark, root, many, "model", "at").count() == 501
+    one = spark.createDataFrame([("m7", 2, -1.0), ("m7", 1, -9.0)], schema)
+    out = writers.store_results(spark, root, one, "model", "at")
+    assert len(list((tmp_path / "store" / "data" / "v2").glob("store_bucket=*"))) == 1
+    assert {r["model"]: r["acc"] for r in out.collect()} == {f"m{i}": float(i) for i in range(500)} | {"m7": -1.0, None: 0.5}
+    own = writers.read_results(spark, root, many.schema, one, "model")
+    assert [tuple(r) for r in own.collect()] == [("m7", 2, -1.0)] and len(own.inputFiles()) == 1
+    # a write that dies before its manifest leaves the last version
+    broken = spark.createDataFrame([("m8", 3, 0.0)], schema)
+    broken.write.mode("overwrite").parquet(f"{root}/data/v3/store_bucket=1")
+    assert writers.read_results(spark, root, many.schema).count() == 501
+    none = writers.store_results(spark, root, broken.limit(0), "model", "at")
+    assert none.count() == 501 and writers.read_results(spark, str(tmp_path / "no"), many.schema).count() == 0
+
+
 def test_stored_statistics_are_read_again(spark, tmp_path):
     calls = []
 
