@@ -140,6 +140,24 @@ def upsert_latest(stored: DataFrame, new: DataFrame, key: str, version: str) ->
     return rows.groupBy(key).agg(latest).select(key, "_latest.*").select(*rows.columns)
 
 
+def leaderboard(results: DataFrame, key: str, score: str, minutes: str | None = None) -> DataFrame:
+    """Results with ``place`` from 1, best score first, ties by key; with ``minutes`` also the score per minute.
+
+    One row per model is expected: the whole board is ranked in one task. Null scores come last.
+    """
+    placed = results.withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_last(score), key)))
+    if minutes is None:
+        return placed
+    per_minute = F.when(F.col(minutes) > 0, F.col(score) / F.col(minutes))
+    return placed.withColumn(f"{score}_per_minute", per_minute)
+
+
+def head_rows(df: DataFrame, by: str, key: str, n: int = 100) -> DataFrame:
+    """The first ``n`` rows of each value of ``by``, in key order; only keys are ranked, ``n`` from each task at most."""
+    first = F.row_number().over(W.partitionBy(by).orderBy(key))
+    return df.withColumn("_row", first).where(F.col("_row") <= n).drop("_row")
+
+
 def remaining(planned: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Planned keys that are not done."""
     return planned.select(key).distinct().join(done.select(key).distinct(), key, "left_anti")

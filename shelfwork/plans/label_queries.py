@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import balance as B
 from ..operators import columns as C
+from ..operators import evaluate as E
 from ..operators import explore as X
 from ..operators import labels as N
 from ..functions import fixed_values as fixed
@@ -453,8 +454,7 @@ def repeated_rows(spark, folder):
 @query("head_rows", "SELECT doc_id, lang, split FROM (" + sql_split("documents", "lang", "0.2", 42) + ") QUALIFY row_number() OVER (PARTITION BY split ORDER BY doc_id) <= 100")
 def head_rows(spark, folder):
     split = B.stratified_split(docs(spark, folder), "lang", "doc_id").select("doc_id", "lang", "split")
-    parts = [split.where(F.col("split") == s).orderBy("doc_id").limit(100) for s in ("train", "test")]
-    return parts[0].unionByName(parts[1])
+    return E.head_rows(split, "split", "doc_id", 100)
 
 
 @query("label_filter", "SELECT doc_id, source FROM documents WHERE lang = 'fr'")

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import evaluate as E
 from ..operators import features as P
 from ..operators import similar as S
 from ..operators.balance import stratified_split
 from ..operators.labels import encode, label_map
-from ..scale import spread
+from ..scale import kept, spread
 from ..session import shared_folder
 from ..sources import readers, writers
 from ..streaming import incremental
+from .label_queries import sql_split
 from .registry import query, table
 from .text_queries import sql_clean
 
@@ -123,11 +125,26 @@ def split_documents(spark, folder):
     return stratified_split(coded, "lang", "doc_id")
 
 
+def classified(spark, folder):
+    """The split documents, and the classes of the held-out ones by a classifier at its own defaults."""
+    rows = split_documents(spark, folder)
+    model = P.train_text_classifier(rows.where("split = 'train'"), "text", "label_id")
+    return rows, P.classify_texts(model, rows.where("split = 'test'"), "doc_id", "text")
+
+
 @query("text_classifier")
 def text_classifier(spark, folder):
-    rows = split_documents(spark, folder)
-    model = P.train_text_classifier(rows.where("split = 'train'"), "text", "label_id", terms=20_000, iterations=10)
-    return P.classify_texts(model, rows.where("split = 'test'"), "doc_id", "text")
+    return classified(spark, folder)[1]
+
+
+@query("text_classifier_held_out", f"SELECT doc_id, lang, true AS beats_largest, true AS mostly_right FROM ({sql_split('documents', 'lang', '0.2', 42)}) WHERE split = 'test'")
+def text_classifier_held_out(spark, folder):
+    """The held-out documents with their true class, and whether the classifier beats the largest class and is right in nine of ten."""
+    rows, found = classified(spark, folder)
+    held = kept(rows.where("split = 'test'").select("doc_id", "lang", "label_id").join(found, "doc_id"), "classified")
+    right = held.agg(F.avg((F.col("label_id") == F.col("predicted")).cast("int"))).first()[0] or 0.0
+    largest = held.groupBy("lang").count().agg(F.max("count") / F.sum("count")).first()[0] or 0.0
+    return held.select("doc_id", "lang", F.lit(right > largest).alias("beats_largest"), F.lit(right > 0.9).alias("mostly_right"))
 
 
 def split_vectors(spark, folder):
@@ -163,7 +180,8 @@ def late_fusion(spark, folder):
 def grid_search(spark, folder):
     rows = split_vectors(spark, folder).where("split = 'train'")
     _, trials = P.grid_search(rows, "embedding", "label", [0.0, 0.01, 0.1], [0.0, 0.5], iterations=10)
-    return trials
+    stored = writers.store_results(spark, shared_folder(spark, "trials"), trials.withColumn("run", F.lit(1)), "trial", "run")
+    return E.leaderboard(stored, "trial", "val_accuracy")
 
 
 @query("compare_heads")
@@ -175,7 +193,9 @@ def compare_heads(spark, folder):
         "logistic": LogisticRegression(maxIter=20, regParam=0.01),
         "forest": RandomForestClassifier(numTrees=10, maxDepth=4, seed=42),
     }
-    return P.compare_heads(rows.where("split = 'train'"), rows.where("split = 'test'"), "embedding", "label", heads)
+    found = P.compare_heads(rows.where("split = 'train'"), rows.where("split = 'test'"), "embedding", "label", heads)
+    stored = writers.store_results(spark, shared_folder(spark, "models"), found.withColumn("run", F.lit(1)), "model", "run")
+    return E.leaderboard(stored, "model", "val_accuracy")
 
 
 @query("word_vectors")

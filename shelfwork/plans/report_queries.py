@@ -361,16 +361,11 @@ def leaderboard_upsert(spark, folder):
     """,
 )
 def leaderboard(spark, folder):
-    from pyspark.sql import Window as W
-
     board = table(spark, folder, "events").groupBy(F.col("event_type").alias("model")).agg(
         F.avg("value").alias("accuracy"), (F.sum("value") / 60).alias("minutes")
     )
-    placed = board.withColumns(
-        {"accuracy_per_minute": F.round(F.col("accuracy") / F.col("minutes"), 9),
-         "place": F.row_number().over(W.orderBy(F.desc("accuracy"), "model"))}  # one row per model
-    )
-    return rounded(placed, "accuracy", "minutes")
+    placed = E.leaderboard(board, "model", "accuracy", "minutes")
+    return rounded(placed.withColumn("accuracy_per_minute", F.round("accuracy_per_minute", 9)), "accuracy", "minutes")
 
 
 @query(
