@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import text as T
-from ..scale import by_own_key, with_position
+from ..scale import by_own_key, kept, with_position
 from .columns import output_column
 
 KINDS = ("batch", "row")
@@ -170,7 +170,11 @@ def enrich(
     df: DataFrame, key: str, columns: Sequence[str], call: Callable, model: str,
     kind: str = "batch", chunk_rows: int = 250, retries: int = 2, on_error: str = "null",
 ) -> DataFrame:
-    """Enrich several columns; every column gets a reply column named after the model."""
+    """Enrich several columns; every column gets a reply column named after the model.
+
+    The replies are written to the shared folder before anyone reads them, so that
+    the function is asked once, however often the result is used.
+    """
     if kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}, not {kind!r}")
     out = df
@@ -180,7 +184,8 @@ def enrich(
             replies = enrich_batches(batched, key, c, call, retries, on_error)
         else:
             replies = enrich_rows(df, key, c, call, on_error)
-        out = out.join(replies.select(key, F.col("reply").alias(output_column(c, model))), key, "left")
+        replies = kept(replies.select(key, F.col("reply").alias(output_column(c, model))), "replies")
+        out = out.join(replies, key, "left")
     return out
 
 
@@ -212,13 +217,14 @@ def _stored(spark, path: str) -> DataFrame | None:
 
 
 def compare_models(df: DataFrame, key: str, text: str, calls: dict[str, Callable], chunk_rows: int = 250) -> DataFrame:
-    """Several functions side by side: long form ``(key, model, reply, status)``."""
+    """Several functions side by side: long form ``(key, model, reply, status)``, written before it is read, each function asked once."""
     batched = with_batches(with_chunks(df.select(key, text), key, chunk_rows), key, text)
     long = None
     for model, call in calls.items():
         one = enrich_batches(batched, key, text, call).withColumn("model", F.lit(model))
+        one = kept(one.select(key, "model", "reply", "status"), "replies")
         long = one if long is None else long.unionByName(one)
-    return long.select(key, "model", "reply", "status")
+    return long
 
 
 def side_by_side(long: DataFrame, key: str, text: str, models: Sequence[str]) -> DataFrame:

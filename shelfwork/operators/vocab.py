@@ -32,6 +32,13 @@ def term_counts(df: DataFrame, text: str, by: Sequence[str] = (), tokens=T.vocab
     return terms.groupBy(*by, "term").agg(F.count("*").alias("n"))
 
 
+def corrected_words(df: DataFrame, before: str, after: str) -> DataFrame:
+    """(old, new, n): words that a correction changed, word by word, and how often; texts keep their blanks."""
+    pair = F.arrays_zip(F.split(before, " ").alias("old"), F.split(after, " ").alias("new"))
+    pairs = df.select(F.explode(pair).alias("p")).select("p.old", "p.new")
+    return pairs.where("old <> new").groupBy("old", "new").agg(F.count("*").alias("n"))
+
+
 def vocabulary(df: DataFrame, text: str, num_words: int = 60_000) -> DataFrame:
     """Ids below ``num_words``: 1 is for unknown words, the rest by falling count, ties by word."""
     kept = term_counts(df, text).orderBy(F.desc("n"), "term").limit(max(num_words - 2, 0))

@@ -9,6 +9,7 @@ from ..functions import task_text
 from ..functions import text as T
 from ..operators import columns as C
 from ..operators import outliers as O
+from ..operators import vocab as V
 from ..scale import spread
 from .registry import query, table
 
@@ -265,12 +266,14 @@ def fix_mojibake_table(spark, folder):
     return docs.select("doc_id", T.fix_mojibake(T.replace_all("text", BROKEN)).alias("text"))
 
 
+MISREAD = [(c, c.encode("utf-8").decode("latin-1")) for c in "àáâäçèéêëìíîïñòóôöùúûüßÀÁÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ¿¡«»"]
+
+
 @query("fix_encoding", "SELECT doc_id, 'łę ' || text AS text FROM documents")
 def fix_encoding(spark, folder):
     # Broken on purpose, repaired, and expected to equal the stored text.
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
-    letters = "àáâäçèéêëìíîïñòóôöùúûüßÀÁÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ¿¡«»"
-    broken = T.replace_all("text", [(c, c.encode("utf-8").decode("latin-1")) for c in letters])
+    broken = T.replace_all("text", MISREAD)
     return docs.select("doc_id", F.concat(F.lit("Å‚Ä™ "), broken).alias("text")).select("doc_id", task_text.fix_encoding("text").alias("text"))
 
 
@@ -394,9 +397,21 @@ def clean_reply(spark, folder):
 )
 def corrected_words(spark, folder):
     docs = spread(table(spark, folder, "documents").select("text"))
-    pair = F.arrays_zip(F.split("text", " ").alias("old"), F.split(T.strip_accents("text"), " ").alias("new"))
-    pairs = docs.select(F.explode(pair).alias("p")).select("p.old", "p.new")
-    return pairs.where("old <> new").groupBy("old", "new").agg(F.count("*").alias("n"))
+    return V.corrected_words(docs.select("text", T.strip_accents("text").alias("plain")), "text", "plain")
+
+
+@query(
+    "repaired_words",
+    f"""
+    WITH w AS (SELECT unnest(string_split({sql_replace('text', MISREAD)}, ' ')) AS old, unnest(string_split(text, ' ')) AS new FROM documents)
+    SELECT old, new, count(*) AS n FROM w WHERE old <> new GROUP BY old, new
+    """,
+)
+def repaired_words(spark, folder):
+    """The map of words that the repair of broken encodings corrects."""
+    docs = spread(table(spark, folder, "documents").select("text"))
+    broken = docs.select(T.replace_all("text", MISREAD).alias("broken"))
+    return V.corrected_words(broken.select("broken", task_text.fix_encoding("broken").alias("mended")), "broken", "mended")
 
 
 # ------------------------------------------------------------------- measuring

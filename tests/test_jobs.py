@@ -90,6 +90,22 @@ def test_store_keeps_latest(spark, tmp_path):
     assert {r["model"]: r["acc"] for r in out.collect()} == {"a": 0.7, "b": 0.6}
 
 
+def test_the_function_is_asked_once(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def call(texts):
+        with open(log, "a") as file:
+            file.writelines("x\n" for _ in texts)
+        return [t.upper() for t in texts]
+
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "id long, text string")
+    out = L.enrich(df, "id", ["text"], call, "m")
+    assert {r["id"]: r[-1] for r in out.collect()} == {i: f"TEXT {i}" for i in range(20)} and out.count() == out.count() == 20
+    assert open(log).read().count("x") == 20
+    long = L.compare_models(df, "id", "text", {"a": call, "b": call})
+    assert long.count() == long.distinct().count() == 40 and open(log).read().count("x") == 60
+
+
 def test_a_write_touches_its_buckets_only(spark, tmp_path):
     root, schema = str(tmp_path / "store"), "model string, at int, acc double"
     many = spark.createDataFrame([(f"m{i}", 1, float(i)) for i in range(500)] + [(None, 1, 0.5)], schema)
