@@ -120,6 +120,8 @@ def top_terms(df: DataFrame, label: str, text: str, k: int = 20, tokens=T.vocabu
 KNOWN, BITS, BITS_EACH = 100_000, 1 << 29, 16
 BITMAP = 1 << 15  # bits in a row of Spark's bitmap functions
 _LOW = 0xFFFFFFFF
+#: Words that a task remembers the filter's answers for.
+REMEMBERED = 500_000
 
 
 def bloom(df: DataFrame, column: str, entries: int) -> np.ndarray:
@@ -133,7 +135,7 @@ def bloom(df: DataFrame, column: str, entries: int) -> np.ndarray:
     places = F.explode(F.array(*[(low + i * high) % size for i in range(4)]))
     rows = df.select(places.alias("place")).groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("bucket"))
     bits = np.zeros(size >> 3, np.uint8)
-    for r in rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bits")).toLocalIterator():
+    for r in rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bits")).collect():
         start = (r["bucket"] - 1) * (BITMAP >> 3)
         bits[start : start + (BITMAP >> 3)] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits
@@ -237,38 +239,52 @@ def best_split(token: str, known, total: float) -> str:
 def split_glued_words(df: DataFrame, key: str, text: str, counts: DataFrame, head: int = 24, known_terms: int = KNOWN) -> DataFrame:
     """``text`` with its glued words split, words of letters in lower case, white space as one blank.
 
-    Every distinct word is split once. Texts are not taken apart: a filter of
-    the words that fall apart tells which of a text's words are worth asking for, and
-    only these, once for each key, travel.
+    Every distinct word is split once. Texts are read as they are, word by word in Python (whose
+    white space and letters are those of all scripts), and not taken apart: a
+    filter of the words that fall apart tells which of a text's words
+    are worth asking for, and only these, once for each key, travel.
     """
-    letters = lambda w: w.rlike("^\\p{L}+$")
-    plain = F.transform(T.words(text), lambda w: F.when(letters(w), F.lower(w)).otherwise(w))
-    tokens = F.array_distinct(F.transform(F.filter(T.words(text), letters), F.lower))
-    splits = kept(word_splits(df.select(F.explode(tokens).alias("token")), counts, head, known_terms), "splits")
-    shared = df.sparkSession.sparkContext.broadcast(bloom(splits, "token", splits.count()).tobytes())
     kind = dict(df.dtypes)[key]
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r, w) for r, words in enumerate(batch.column(1).to_pylist()) for w in words or () if may_hold(shared.value, w)]
-            at = pa.array([r for r, _ in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([w for _, w in rows], pa.string())], ["_key", "token"])
+            words = set().union(*(t.split() for t in batch.column(0).to_pylist() if t is not None))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w.lower() for w in words if w.isalpha()}), pa.string())], ["token"])
+
+    splits = kept(word_splits(df.select(text).mapInArrow(own_words, "token string"), counts, head, known_terms), "splits")
+    shared = df.sparkSession.sparkContext.broadcast(bloom(splits, "token", splits.count()).tobytes())
 
-    hits = df.select(F.col(key).alias("_key"), tokens.alias("tokens")).mapInArrow(asked, f"_key {kind}, token string").distinct()
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = shared.value, {}
+        for batch in batches:
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            at, found = [], []
+            for row, value in enumerate(batch.column(1).to_pylist()):
+                for token in {w.lower() for w in set((value or "").split()) if w.isalpha()}:
+                    if token not in seen:
+                        seen[token] = may_hold(bits, token)
+                    if seen[token]:
+                        at.append(row)
+                        found.append(token)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["_key", "token"])
+
+    hits = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(asked, f"_key {kind}, token string").distinct()
     maps = join_dim(hits, splits, ["token"], "inner", spread_on=["_key"]).groupBy("_key").agg(
-        F.sort_array(F.collect_list(F.struct("token", "split"))).alias("_splits")
+        F.collect_list(F.struct("token", "split")).alias("_splits")
     )
     joined = df.join(maps, df[key].eqNullSafe(maps["_key"]), "left")
 
     @F.pandas_udf("string")
-    def spelt(words: pd.Series, pairs: pd.Series) -> pd.Series:
+    def spelt(texts: pd.Series, pairs: pd.Series) -> pd.Series:
         out = []
-        for own, known in zip(words, pairs, strict=True):
+        for value, known in zip(texts, pairs, strict=True):
             table = {p["token"]: p["split"] for p in known} if known is not None else {}
-            out.append(None if own is None else " ".join([table.get(w, w) for w in own]))
+            words = [] if value is None else [w.lower() if w.isalpha() else w for w in value.split()]
+            out.append(None if value is None else " ".join([table.get(w, w) for w in words] if table else words))
         return pd.Series(out, dtype=object)
 
-    return joined.withColumn(text, spelt(plain, "_splits")).select(*df.columns)
+    return joined.withColumn(text, spelt(text, "_splits")).select(*df.columns)
 
 
 # ---------------------------------------------------------------------- spelling
