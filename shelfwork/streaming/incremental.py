@@ -15,8 +15,8 @@ JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def stream_files(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
-    """A stream over the Parquet files of a folder whose names match the pattern."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    """A stream over the Parquet tables of a folder whose names match the pattern: files, and folders with part files."""
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{{{pattern}}}")  # braces: a pattern, even without a star
 
 
 def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:
@@ -37,8 +37,9 @@ def process_new_files(
     """Clean the new files of a folder and return the table written so far."""
     target = target or shared_folder(spark, "stream-out")
     checkpoint = checkpoint or shared_folder(spark, "stream-state")
-    run_available(clean(stream_files(spark, folder, pattern, schema)), target, checkpoint)
-    return spark.read.parquet(target)
+    cleaned = clean(stream_files(spark, folder, pattern, schema))
+    run_available(cleaned, target, checkpoint)
+    return spark.read.schema(cleaned.schema).parquet(target)
 
 
 def drop_repeats_on_arrival(stream: DataFrame, event_time: str, keys: Sequence[str], delay: str) -> DataFrame:

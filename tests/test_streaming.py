@@ -35,3 +35,22 @@ def test_the_earliest_row_survives_restarts(spark, tmp_path, us):
     assert len(deliver(spark, tmp_path, second)) == 1
     third = [(11, None, minute(10_000), "clock"), (12, "e", minute(31), "e")]
     assert deliver(spark, tmp_path, third) == [("a", 9, us(minute(2, 8)), "earliest so far"), ("b", 7, us(minute(25)), "earlier"), ("e", 12, us(minute(31)), "e")]
+
+
+def test_tables_of_part_files_and_none(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "a", START, None) for i in range(20)], SCHEMA)
+    rows.repartition(4).write.parquet(f"{tmp_path}/in/notes.parquet")
+    rows.write.parquet(f"{tmp_path}/in/others.parquet")
+
+    def run(folder, out):
+        return incremental.process_new_files(spark, f"{tmp_path}/{folder}", "notes.parquet", rows.schema, lambda s: s.select("id"), f"{tmp_path}/{out}", f"{tmp_path}/{out}-state")
+
+    assert sorted(r["id"] for r in run("in", "out").collect()) == list(range(20))
+    rows.where("id < 3").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/notes.parquet")
+    assert run("in", "out").count() == 23  # the new part file only
+    part = next((tmp_path / "in" / "others.parquet").glob("*.parquet"))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "notes.parquet").write_bytes(part.read_bytes())
+    assert run("one", "single").count() > 0
+    (tmp_path / "none").mkdir()
+    assert run("none", "empty").count() == 0
