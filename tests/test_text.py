@@ -262,3 +262,11 @@ def test_baseline_chain(spark):
 
 def test_unescape_is_the_standard_one(spark):
     assert values(spark, ["&copy; &#39;"], task_text.html_to_text) == [html.unescape("&copy; &#39;")]
+
+
+def test_the_most_frequent_terms_are_cut_at_a_count(spark):
+    counts = spark.createDataFrame([("a", 9), ("b", 7), ("c", 7), ("d", 7), ("e", 2), ("f", 1)], "term string, n long").repartition(3)
+    for terms, names, cut in ((0, "", 10), (1, "a", 9), (3, "a", 9), (4, "abcd", 7), (5, "abcde", 2), (99, "abcdef", 1)):
+        top, least = V.most_frequent(counts, terms)
+        assert ("".join(sorted(top["term"].to_pylist())), least) == (names, cut)
+    assert V.most_frequent(counts.limit(0), 5)[0].num_rows == 0
