@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scale import TEXT_ROWS, small_text_batches  # noqa: F401
 from ..session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,8 +21,6 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 SAMPLE_BYTES = 256 << 20
 #: Parts of a hot key's rows in a join with what is not broadcast.
 SALTS = 32
-#: Rows with texts in an Arrow batch.
-TEXT_ROWS = 1000
 #: Bytes of text that numpy works on at once.
 CHUNK = 1 << 18
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,14 +110,8 @@ def ascii_lower(text):
 
 
 def in_text_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose texts go to Python in batches of TEXT_ROWS rows at most.
-
-    Sets the session's size of Arrow batches, if it is larger: whole batches of
-    long texts are in memory twice, in the JVM and in Python.
-    """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
-        conf.set(name, str(TEXT_ROWS))
+    """``df``, whose texts go to Python in batches of TEXT_ROWS rows at most."""
+    small_text_batches(df.sparkSession)
     return df
 
 
