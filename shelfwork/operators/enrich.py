@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import text as T
-from ..scale import by_own_key, kept, with_position
+from ..scale import by_own_key, kept, small_text_batches, with_position
 from .columns import output_column
 
 KINDS = ("batch", "row")
@@ -118,11 +118,12 @@ def enrich_batches(
     """Run the function once per batch. One row per text: reply, status, calls, error.
 
     A batch travels as one row (a few texts), so Arrow carries many batches at a
-    time and no batch is split. With ``on_error='input'`` a failed text is its
+    time, up to a fixed number, and no batch is split. With ``on_error='input'`` a failed text is its
     own reply.
     """
     if on_error not in ("null", "input"):
         raise ValueError("on_error is 'null' or 'input'")
+    small_text_batches(batched.sparkSession)
     kind = dict(batched.dtypes)[key]
     grouped = batched.groupBy("chunk", "length_class", "batch").agg(
         F.sort_array(F.collect_list(F.struct("number", key, F.col(text).alias("t")))).alias("rows")
@@ -146,6 +147,7 @@ def enrich_batches(
 
 def enrich_rows(df: DataFrame, key: str, text: str, call: Callable, on_error: str = "input") -> DataFrame:
     """Row by row: null and empty texts become ``Empty`` before the call."""
+    small_text_batches(df.sparkSession)
     single = df.select(
         key, T.fill_empty(text).alias(text), F.col(key).cast("bigint").alias("chunk"),
         F.lit("row").alias("length_class"), F.lit(0).alias("batch"), F.lit(1).alias("number"),
