@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import text as T
-from ..scale import by_key
+from ..scale import by_key, small_text_batches
 
 # ------------------------------------------------------------------ statistics
 
@@ -196,6 +196,7 @@ def similar_sentences(
 
 def _near_earlier(terms: str, weights: str, leads: str, threshold: float):
     """For each vector of a document the places of the earlier vectors with a cosine above the threshold."""
+    small_text_batches()
 
     @F.pandas_udf("array<array<int>>")
     def run(all_terms: pd.Series, all_weights: pd.Series, all_leads: pd.Series) -> pd.Series:

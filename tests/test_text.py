@@ -3,6 +3,7 @@ import math
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -270,3 +271,45 @@ def test_the_most_frequent_terms_are_cut_at_a_count(spark):
         top, least = V.most_frequent(counts, terms)
         assert ("".join(sorted(top["term"].to_pylist())), least) == (names, cut)
     assert V.most_frequent(counts.limit(0), 5)[0].num_rows == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from shelfwork.operators import enrich as L
+    from shelfwork.operators import outliers as O
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    rows = spark.createDataFrame([(1, "en", "one two. three")], "id long, lang string, t string")
+    uses = [
+        lambda: rows.select(task_text.fix_encoding("t")), lambda: rows.select(task_text.html_to_text("t")), lambda: V.language_profiles(rows, "lang", "t"),
+        lambda: V.detect_language(rows, "id", "t", rows.selectExpr("lang", "'one' AS gram", "1L AS share"), "lang"),
+        lambda: L.enrich_rows(rows, "id", "t", list), lambda: O.similar_sentences(rows, "id", "t"),
+        lambda: V.split_glued_words(rows, "id", "t", rows.selectExpr("'one' AS term", "1L AS n")),
+    ]
+    try:
+        for use in uses:
+            spark.conf.set(name, "10000")
+            use()
+            assert int(spark.conf.get(name)) == 1000
+        spark.conf.set(name, "64")  # a smaller size stays
+        uses[0]()
+        assert spark.conf.get(name) == "64"
+    finally:
+        spark.conf.set(name, was)
+
+
+def test_profiles_do_not_depend_on_what_a_task_holds(spark, monkeypatch):
+    rows = [(i, ["a", "b", None][i % 3], None if i % 17 == 0 else f"some words {i * i} {chr(0x1F600 + i % 5)}" + "xy" * (i % 4)) for i in range(200)]
+    df = spark.createDataFrame(rows + [(200, "a", "zz"), (201, "c", "")], "id long, lang string, t string").repartition(3)
+    counts = {}
+    for _, lang, t in rows:
+        for k in range(len(t or "") - 2):
+            counts.setdefault(lang, Counter())[t[k : k + 3]] += 1
+    want = set()
+    for lang, own in counts.items():
+        total = sum(own.values())
+        want |= {(lang, g, n * 1_000_000 // total) for g, n in sorted(own.items(), key=lambda x: (-x[1], x[0].encode()))[:40]}
+    for letters, held in ((1 << 20, 1 << 20), (50, 100), (1, 1)):
+        monkeypatch.setattr(V, "LETTERS", letters)
+        monkeypatch.setattr(V, "HELD_GRAMS", held)
+        assert {tuple(r) for r in V.language_profiles(df, "lang", "t", 40).collect()} == want
