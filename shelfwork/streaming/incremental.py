@@ -63,8 +63,17 @@ def first_arrivals(stream: DataFrame, event_time: str, keys: Sequence[str], tie:
     rows = rows.where(F.size(known) == 1 + len(keys)).withColumns(
         {"_time": F.unix_micros(event_time), "_tie": F.col(tie), "_row": F.to_json(F.struct(*names), JSON_TIME)}
     )
+    # the event time stays for the watermark; the others travel in the row
+    rows = rows.select(*dict.fromkeys([*keys, event_time]), "_time", "_tie", "_row")
     kind = dict(rows.dtypes)["_tie"]
 
+    def first_of(part: pd.DataFrame) -> tuple:
+        times = part["_time"].to_numpy()
+        ties = (times == times.min()).nonzero()[0]
+        at = ties[0] if len(ties) == 1 else ties[part["_tie"].iloc[ties].reset_index(drop=True).sort_values().index[0]]
+        tie = part["_tie"].iat[at]
+        return int(times[at]), tie.item() if hasattr(tie, "item") else tie, part["_row"].iat[at], False
+
     def earliest(_key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             _, _, row, _ = state.get
@@ -73,9 +82,10 @@ def first_arrivals(stream: DataFrame, event_time: str, keys: Sequence[str], tie:
             return
         best = state.get if state.exists else None
         for part in parts:  # read to the end even if the key is done
-            own = part.sort_values(["_time", "_tie"]).iloc[0]
-            found = (int(own["_time"]), own["_tie"].item() if hasattr(own["_tie"], "item") else own["_tie"], own["_row"], False)
-            if best is None or (not best[3] and found[:2] < best[:2]):
+            if best is not None and best[3]:
+                continue
+            found = first_of(part)
+            if best is None or found[:2] < best[:2]:
                 best = found
         if best is not None and not best[3]:
             state.update(best)

@@ -54,3 +54,11 @@ def test_tables_of_part_files_and_none(spark, tmp_path):
     assert run("one", "single").count() > 0
     (tmp_path / "none").mkdir()
     assert run("none", "empty").count() == 0
+
+
+def test_many_rows_of_a_key_and_ties(spark, tmp_path, us):
+    rows = [(i * 37 % 400, "abc"[i % 3], minute(20 - i * 7 % 11), f"note {i}") for i in range(400)]
+    want = sorted(min((r[2], r[0], r[1], r[3]) for r in rows if r[1] == who) for who in "abc")
+    got = deliver(spark, tmp_path, [*rows, (0, None, minute(10_000), "clock")])
+    assert got == sorted((who, i, us(t), note) for t, i, who, note in want)
+    assert len({r[2] for r in rows if r[1] == "a"}) < sum(r[1] == "a" for r in rows)
