@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions import text as T
 from ..scale import by_key, small_text_batches
+from .vocab import document_term_counts
 
 # ------------------------------------------------------------------ statistics
 
@@ -291,8 +292,7 @@ def dedupe_sentences(
 
 def document_terms(df: DataFrame, key: str, text: str, stop_words: Sequence[str] = fixed.STOP_WORDS) -> DataFrame:
     """Count of every term of a document, without stop words and punctuation."""
-    tokens = df.select(key, F.explode(T.word_tokens(text)).alias("term"))
-    return tokens.where(_significant(stop_words)).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return document_term_counts(df, key, text, T.word_tokens).where(_significant(stop_words))
 
 
 def _significant(stop_words: Sequence[str]):

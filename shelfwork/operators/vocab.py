@@ -14,13 +14,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from ..scale import by_key, join_dim, kept, small_text_batches
+from ..scale import bounded, by_key, join_dim, kept, small_text_batches
 
 OOV = "<OOV>"
 OOV_ID = 1
@@ -32,6 +32,45 @@ def term_counts(df: DataFrame, text: str, by: Sequence[str] = (), tokens=T.vocab
     return terms.groupBy(*by, "term").agg(F.count("*").alias("n"))
 
 
+def row_terms(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(key, term, n): the terms of each row, counted where the row is.
+
+    The row's tokens are sorted, and the places where a run of equal ones ends
+    give the counts: a task holds one row's tokens at a time and nothing is shuffled.
+    """
+    ordered = df.select(key, F.sort_array(tokens).alias("_t"))
+    end = lambda t, i: F.when(~t.eqNullSafe(F.get("_t", i + 1)), F.struct(t.alias("term"), (i + 1).alias("upto")))
+    ends = ordered.select(key, F.filter(F.transform("_t", end), lambda e: e.isNotNull()).alias("_e"))
+    before = lambda i: F.coalesce(F.get("_e", i - 1)["upto"], F.lit(0))
+    run = lambda e, i: F.struct(e["term"].alias("term"), (e["upto"] - before(i)).cast("long").alias("n"))
+    return ends.select(key, F.explode(F.transform("_e", run)).alias("e")).select(key, "e.term", "e.n")
+
+
+#: Characters of text whose terms one task sums, when several rows have one key.
+SUMMED_CHARS = 16_000_000
+
+
+def document_term_counts(df: DataFrame, key: str, text: str, tokens=T.vocabulary_tokens) -> DataFrame:
+    """(key, term, n): the terms of each text. Only rows that share their key, null too, meet in a grouping."""
+    of = df.groupBy(F.col(key).alias("_of")).agg(F.count("*").alias("_n")).where("_n > 1").select("_of")
+    repeated = bounded(of)
+    if repeated is None:
+        return _summed_terms(df, key, text, tokens)
+    same = df[key].eqNullSafe(repeated["_of"])
+    alone = row_terms(df.join(F.broadcast(repeated), same, "left_anti"), key, tokens(text))
+    if repeated.isEmpty():
+        return alone
+    return alone.unionByName(_summed_terms(df.join(F.broadcast(repeated), same, "left_semi"), key, text, tokens))
+
+
+def _summed_terms(df: DataFrame, key: str, text: str, tokens) -> DataFrame:
+    """Terms counted in their rows and summed by key, in as many tasks as the texts' size calls for."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chars = df.agg(F.sum(F.length(text))).first()[0] or 0
+    rows = row_terms(df, key, tokens(text)).repartition(max(least, -(-chars // SUMMED_CHARS)), key, "term")
+    return rows.groupBy(key, "term").agg(F.sum("n").alias("n"))
+
+
 def corrected_words(df: DataFrame, before: str, after: str) -> DataFrame:
     """(old, new, n): words that a correction changed, word by word, and how often; texts keep their blanks."""
     pair = F.arrays_zip(F.split(before, " ").alias("old"), F.split(after, " ").alias("new"))

@@ -7,6 +7,7 @@ import pytest
 
 from shelfwork.functions import fixed_values as fixed
 from shelfwork.operators import outliers as O
+from shelfwork.operators import vocab as V
 
 
 def sentences(text):
@@ -133,3 +134,27 @@ def test_describe(spark):
     assert row["count"] == 6 and row["min"] == 1 and row["max"] == 40
     assert row["std"] == pytest.approx(np.std(values, ddof=1))
     assert [row["q25"], row["q50"], row["q75"]] == list(np.percentile(values, [25, 50, 75]))
+
+
+def test_document_terms_are_counted_in_their_rows(spark, frame, texts, monkeypatch):
+    def expected(rows):
+        found = Counter((k, w) for k, t in rows for w in re.findall(r"[^\W]+", t or ""))
+        return {(k, w): n for (k, w), n in found.items() if w not in fixed.STOP_WORDS and w not in fixed.PUNCTUATION}
+
+    def got(df):
+        return {(r["id"], r["term"]): r["n"] for r in df.collect()}
+
+    alone = O.document_terms(frame, "id", "text")
+    assert "Aggregate" not in alone._jdf.queryExecution().executedPlan().toString()  # no map of a task's documents and terms
+    assert got(alone) == expected(enumerate(texts))
+
+    rows = [*enumerate(texts), (None, "bolt gear bolt"), (3, "gear"), (None, "bolt"), (3, None), (4, None), (900, ""), (901, None)]
+    again = spark.createDataFrame(rows, "id int, text string")
+    monkeypatch.setattr(V, "SUMMED_CHARS", 100)
+    assert got(O.document_terms(again, "id", "text")) == expected(rows)  # few keys are repeated
+    assert O.document_terms(again, "id", "text").count() == len(expected(rows))
+    monkeypatch.setattr(V, "bounded", lambda df: None)
+    summed = O.document_terms(again, "id", "text")  # too many to be known to each task
+    chars = sum(len(t or "") for _, t in rows)
+    assert f", {-(-chars // 100)})" in summed._jdf.queryExecution().executedPlan().toString() and chars > 800
+    assert got(summed) == expected(rows)
