@@ -123,9 +123,7 @@ def decode_sequences(df: DataFrame, key: str, ids: str, vocab: DataFrame, num_wo
 def corpus_tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     """Count times ln((N + 1) / (df + 1)) of every word, one row per text and word."""
     docs = by_key(df.select(key, text), key)
-    counts = docs.select(key, F.explode(T.vocabulary_tokens(text)).alias("term")).groupBy(key, "term").agg(
-        F.count("*").alias("n")
-    )
+    counts = document_term_counts(docs, key, text)
     kept = counts.groupBy("term").agg(F.count("*").alias("df"))
     texts = df.agg(F.count("*").alias("texts"))
     weighed = counts.join(kept, "term")
