@@ -212,6 +212,32 @@ def test_glued_words_through_the_filter(spark, known):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_terms_meet_ends_in_their_ranges():
+    ends = sorted(["a", "a", "a", "ab", "abc", "b", "ba", "ca", "cab"] + ["e"] * 9)
+    bounds = ["a", "ab", "c", "e", "e", "e"]
+    dealt = {(t, V.range_of_end(t, i, bounds)) for i, t in enumerate(ends)}
+    assert {at for t, at in dealt if t == "e"} == {4, 5, 6}  # a frequent end is dealt over several ranges
+    for term in ("a", "ab", "abc", "b", "c", "e", "z", "0"):
+        places = V.ranges_of_term(term, bounds)
+        assert len(places) == len(set(places)) and all(at in places for t, at in dealt if t.startswith(term))
+
+
+def test_no_filter_of_terms_goes_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(V, "bloom", None)  # its size went with the number of terms
+    monkeypatch.setattr(V, "RANGE_ENDS", 50)  # many ranges
+    r = random.Random(8)
+    counts = {"".join(r.choice("abé") for _ in range(r.randint(1, 6))): r.randint(1, 99) for _ in range(300)}
+    counts |= {("ab" * 20)[:n]: n for n in (23, 24, 25, 31)} | {"a" * 24 + end: 7 for end in "bcd"}
+    tokens = list({"".join(r.choice(list(counts)) for _ in range(r.randint(1, 4))) for _ in range(200)} | {"q" + "ab" * 25, "a" * 30 + "d"})
+    rows = spark.createDataFrame([(t,) for t in tokens], "token string")
+    got = V.word_splits(rows, spark.createDataFrame(list(counts.items()), "term string, n long"), known_terms=40).collect()
+    total, want = sum(counts.values()), {}
+    for w in tokens:
+        own = [{"start": i, "size": len(t), "n": n} for t, n in counts.items() for i in range(len(w)) if w.startswith(t, i)]
+        want[w] = V.best_split(w, own, total)
+    assert sorted(map(tuple, got)) == sorted((w, s) for w, s in want.items() if w != s)
+
+
 def test_the_filter_holds_what_it_was_made_of(spark):
     terms = [f"té{i}" for i in range(3000)] + ["", "\U0001f600"]
     bits = V.bloom(spark.createDataFrame([(t,) for t in terms], "t string"), "t", len(terms)).tobytes()
