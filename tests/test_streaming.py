@@ -62,3 +62,16 @@ def test_many_rows_of_a_key_and_ties(spark, tmp_path, us):
     got = deliver(spark, tmp_path, [*rows, (0, None, minute(10_000), "clock")])
     assert got == sorted((who, i, us(t), note) for t, i, who, note in want)
     assert len({r[2] for r in rows if r[1] == "a"}) < sum(r[1] == "a" for r in rows)
+
+
+def test_many_keys_share_a_state(spark, tmp_path, us, monkeypatch):
+    monkeypatch.setattr(incremental, "BUCKETS", 8)
+    monkeypatch.setattr(incremental, "HELD_ROWS", 50)
+    rows = [(i * 7 % 900, f"user {i % 300}", minute(i % 300 * 11 % 90, (900 - i) % 5), f"note {i}") for i in range(900)]
+    late = [r for r in rows if r[2] >= minute(80)]
+    early = [r for r in rows if r[2] < minute(80)]
+    best = sorted(min((r[2], r[0], r[1], r[3]) for r in rows if r[1] == f"user {u}") for u in range(300))
+    out = sorted((who, i, us(t), note) for t, i, who, note in best if t < minute(69))  # the watermark: 10 minutes before the last row
+    assert deliver(spark, tmp_path, early) == out and len(out) < len({r[1] for r in early}) < 300
+    assert spark.read.format("statestore").load(f"{tmp_path}/state").count() <= 8  # not one for each key
+    assert deliver(spark, tmp_path, [*late, (0, None, minute(10_000), "clock")]) == sorted((who, i, us(t), note) for t, i, who, note in best)
