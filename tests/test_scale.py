@@ -82,6 +82,20 @@ def test_every_pair_meets_once(spark):
     assert max(sizes.values()) < 60
 
 
+def test_rows_that_are_not_main_are_sent_to_main_ones_only(spark):
+    df = spark.range(200).selectExpr("id", "id % 2 = 0 AS b", "id % 20 < 2 AS m")
+    groups = scale.tile_groups(df, ["b"], "id", 10, ("m",), "m").collect()
+    assert len(groups) < 20 * 12 + 180 * 3  # 10 tiles a block; before, each row went to all of them
+    meets, by_group = Counter(), {}
+    for r in groups:
+        by_group.setdefault((r["b"], r["_p"], r["_q"]), []).append((r["id"], r["_t"]))
+    for (_, p, q), members in by_group.items():
+        left, right = ([i for i, t in members if t == tile] for tile in (p, q))
+        meets.update(frozenset((x, y)) for x in left for y in right if x != y and (p != q or x < y))
+    want = {frozenset((x, y)) for x in range(200) for y in range(x) if x % 2 == y % 2 and (x % 20 < 2 or y % 20 < 2)}
+    assert set(meets) == want and set(meets.values()) == {1}
+
+
 def test_single_rows_have_no_groups(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, b string")
     assert scale.tile_groups(df, ["b"], "id", 10).count() == 0
